@@ -116,6 +116,26 @@ def kfold_column(df: DataFrame, key: list[str], folds: int = FOLDS, stratify: st
     return out.withColumn(output, fold).drop("_h", *[f"_{r}" for r in ranks])
 
 
+def training_flags(df: DataFrame, key: list[str], stratify: str | None, rows: int, folds: int = FOLDS) -> DataFrame:
+    """``_test``, ``_watch`` (early-stopping slice of the rest) and ``_fold`` in one pass when
+    every class is large enough for all three."""
+    least = strata_sizes(df, stratify) if stratify is not None else rows
+    test = share_rank(TEST_PERMILLE)
+    watch = test + F.floor(((F.col("n") - test) * VALIDATION_PERMILLE + 999) / F.lit(1000))
+    parts = {"test": test, "watch": watch}
+    cuts = {f"cut{i}": F.floor((F.col("n") * i + folds - 1) / F.lit(folds)) for i in range(1, folds)}
+    together = least >= folds
+    out = _with_cutoffs(df, key, stratify if least >= 2 else None, {**parts, **cuts} if together else parts, rows)
+    out = out.withColumns({
+        "_is_test": F.col("_h") <= F.col("_test"),
+        "_is_watch": (F.col("_h") > F.col("_test")) & (F.col("_h") <= F.col("_watch")),
+    }).drop("_test", "_watch").withColumnsRenamed({"_is_test": "_test", "_is_watch": "_watch"})
+    if together:
+        fold = sum((F.when(F.col("_h") > F.col(f"_{c}"), 1).otherwise(0) for c in cuts), F.lit(0))
+        return out.withColumn("_fold", fold).drop("_h", *[f"_{c}" for c in cuts])
+    return kfold_column(out.drop("_h"), key, folds, None, "_fold", rows)
+
+
 def cap_rows(df: DataFrame, limit: int, key: list[str], time: str | None = None, rows: int | None = None) -> DataFrame:
     """At most ``limit`` rows: the most recent in time mode, else a random choice by key hash.
 
