@@ -81,18 +81,37 @@ def finite(c: Column) -> Column:
     return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
 
 
+FINITE = {"tabscout.finite": True}
+
+
+def is_clean(df: DataFrame, name: str) -> bool:
+    """Whether a column is known to hold no NaN or infinity: by type, or by an earlier pass."""
+    f = df.schema[name]
+    return not is_float(f.dataType) or bool(f.metadata and f.metadata.get("tabscout.finite"))
+
+
 def sanitize_numeric(df: DataFrame) -> DataFrame:
-    """Replace NaN and ±infinity by NULL in every floating-point column."""
-    if not any(is_float(f.dataType) for f in df.schema.fields):
+    """Replace NaN and ±infinity by NULL in every floating-point column.
+
+    Cleaned columns are marked in their metadata, so operators that call each other do
+    not stack the same test on a column again.
+    """
+    if all(is_clean(df, n) for n in df.columns):
         return df
     return df.select(
-        *[
-            finite(column(f.name)).alias(f.name) if is_float(f.dataType) else column(f.name)
-            for f in df.schema.fields
-        ]
+        *[column(n) if is_clean(df, n) else finite(column(n)).alias(n, metadata=FINITE) for n in df.columns]
     )
 
 
+def numeric_column(df: DataFrame, name: str) -> Column:
+    """The column as a finite double, with no test where none is needed."""
+    dtype = dtype_of(df, name)
+    if is_number(dtype) or is_flag(dtype):
+        plain = column(name).cast("double")
+        return plain if is_clean(df, name) else finite(plain)
+    return coerce_numeric(name)
+
+
 def coerce_numeric(c: Column | str) -> Column:
     """Text to number; anything that is not a finite number is NULL."""
     c = column(c) if isinstance(c, str) else c

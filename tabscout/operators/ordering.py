@@ -124,6 +124,27 @@ def look_back(df: DataFrame, order: list[Column], series: list[str], build: Call
     return body.filter(~head).unionByName(mended).drop(*helpers)
 
 
+def global_position(df: DataFrame, order: list[Column], output: str = "position", rows: int | None = None,
+                    per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Each row's 1-based place in the whole order: place in its bucket plus earlier buckets."""
+    rows = df.count() if rows is None else rows
+    bucket, bounds = range_buckets(df, order, rows, per_bucket)
+    keyed = df.withColumns({"_bucket": bucket, **{f"_o{i}": c for i, c in enumerate(order)}})
+    terms = [F.col(f"_o{i}") for i in range(len(order))]
+    local = Window.partitionBy("_bucket").orderBy(*terms)
+    placed = keyed.withColumn("_at", F.row_number().over(local))
+    if bounds:
+        # At most 512 buckets, so their running total is one small window.
+        sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
+        running = Window.partitionBy(F.lit(0)).orderBy("_bucket")
+        starts = sizes.select("_bucket", (F.sum("_size").over(running) - F.col("_size")).alias("_start"))
+        placed = placed.join(F.broadcast(starts), "_bucket")
+    else:
+        placed = placed.withColumn("_start", F.lit(0))
+    names = [c for c in df.columns if c != output]
+    return placed.select(*[column(c) for c in names], (F.col("_start") + F.col("_at")).cast("bigint").alias(output))
+
+
 def cut_points(df: DataFrame, terms: list[Column], ranks: list[int], rows: int) -> dict[int, tuple | None]:
     """The order tuple found at each 0-based rank; rows before it sort strictly lower.
 

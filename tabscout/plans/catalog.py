@@ -6,7 +6,7 @@ import importlib
 
 from tabscout.plans.registry import ORACLES, QUERIES
 
-MODULES = ("profiling", "shaping", "evaluation")
+MODULES = ("profiling", "shaping", "evaluation", "modelling")
 for _module in MODULES:
     importlib.import_module(f"tabscout.plans.{_module}")
 
