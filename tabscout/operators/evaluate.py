@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscout.functions.scalars import column
-from tabscout.operators.ordering import ROWS_PER_BUCKET, range_buckets
+from tabscout.operators.ordering import ROWS_PER_BUCKET, with_buckets
 
 # Curve resolution, and the limits behind each warning.
 THRESHOLD_STEPS = 21
@@ -32,7 +32,7 @@ def confusion_matrix(scored: DataFrame, actual: str, predicted: str, classes: li
     counts = scored.groupBy(
         column(actual).cast("string").alias("actual"), column(predicted).cast("string").alias("predicted")
     ).agg(F.count(F.lit(1)).alias("rows"))
-    return grid.join(F.broadcast(counts) if len(classes) <= 100 else counts, ["actual", "predicted"], "left").select(
+    return grid.join(counts, ["actual", "predicted"], "left").select(
         "actual", "predicted", F.coalesce("rows", F.lit(0)).alias("rows")
     )
 
@@ -76,8 +76,8 @@ def roc_auc(scored: DataFrame, actual: str, probability: str, positive: str,
         F.count_if(is_positive).alias("pos"), F.count_if(~is_positive).alias("neg")
     )
     distinct = levels.count()
-    bucket, _ = range_buckets(levels, [F.col("s")], distinct, per_bucket)
-    placed = levels.withColumn("b", bucket)
+    bucketed, _, _ = with_buckets(levels, [F.col("s")], distinct, per_bucket)
+    placed = bucketed.select("s", "pos", "neg", F.col("_bucket").alias("b"))
     # At most 512 buckets.
     sums = placed.groupBy("b").agg(F.sum("neg").alias("bucket_neg"))
     earlier = sums.select(
@@ -100,8 +100,7 @@ def threshold_curve(scored: DataFrame, actual: str, probability: str, positive:
                     steps: int = THRESHOLD_STEPS) -> DataFrame:
     """Precision, recall, accuracy and flagged share at evenly spaced thresholds.
 
-    One aggregate: each row falls in one slot between thresholds, and the curve is summed
-    from the slots.
+    One aggregate of conditional counts; nothing is grouped or shuffled but its one row.
     """
     cuts = [i * (1.0 / (steps - 1)) for i in range(steps - 1)] + [1.0]
     p = column(probability)

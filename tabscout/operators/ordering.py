@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabscout.functions.scalars import as_time, column, dtype_of, is_number, is_time
+from tabscout.functions.scalars import as_time, column, dtype_of, is_integral, is_number, is_time
 from tabscout.operators.quantiles import order_statistics
 
 ROWS_PER_BUCKET = 1_000_000
@@ -55,31 +55,56 @@ def _tuple_less(left: list[Column], right: list) -> Column:
     return result
 
 
-def range_buckets(df: DataFrame, terms: list[Column], rows: int, per_bucket: int = ROWS_PER_BUCKET,
-                  seed: int = 42) -> tuple[Column, list[tuple]]:
-    """A bucket number that follows the order of ``terms``, and the bucket bounds.
+def with_buckets(df: DataFrame, terms: list[Column], rows: int, per_bucket: int = ROWS_PER_BUCKET,
+                 seed: int = 42) -> tuple[DataFrame, list[Column], list[tuple]]:
+    """Add ``_bucket``, a number that follows the order of ``terms``, and the terms as columns.
 
-    Bounds are whole tuples from a bounded sample (at most 64 per bucket), so equal
-    leading values can still be split by the later terms. They only steer balance: any
-    bounds give a correct order.
+    Returns the table, the term columns and the bucket bounds. Bounds are whole tuples from
+    a bounded sample (at most 64 per bucket), so equal leading values can still be split by
+    the later terms. They only steer balance: any bounds give a correct order.
     """
+    named = df.withColumns({f"_o{i}": _orderable(df, t) for i, t in enumerate(terms)})
+    order = [F.col(f"_o{i}") for i in range(len(terms))]
     wanted = min(MAX_BUCKETS, -(-rows // per_bucket))
     if wanted <= 1:
-        return F.lit(0), []
-    named = df.select(*[t.alias(f"t{i}") for i, t in enumerate(terms)])
+        return named.withColumn("_bucket", F.lit(0)), order, []
     share = min(1.0, wanted * SAMPLE_PER_BUCKET / rows)
-    sample = named if share >= 1.0 else named.sample(share, seed)
+    slim = named.select(*order)
+    sample = slim if share >= 1.0 else slim.sample(share, seed)
     limit = MAX_BUCKETS * SAMPLE_PER_BUCKET * 2
     points = sorted((tuple(r) for r in sample.limit(limit).collect()), key=_null_first)
     bounds = sorted({points[len(points) * i // wanted] for i in range(1, wanted)}, key=_null_first) if points else []
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(_tuple_less(terms, list(bounds[middle])), search(low, middle)).otherwise(search(middle + 1, high))
-
-    return search(0, len(bounds)), bounds
+    if not bounds:
+        return named.withColumn("_bucket", F.lit(0)), order, []
+    types = [f.dataType.simpleString() for f in slim.schema.fields]
+    ladder = F.expr("array(" + ", ".join(
+        "named_struct(" + ", ".join(f"'k{i}', {_literal(v, t)}" for i, (v, t) in enumerate(zip(b, types))) + ")" for b in bounds
+    ) + ")")
+    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    # Binary search over a literal array: one short projection per halving.
+    found = named.withColumn("_bucket", F.lit(0))
+    step = 1 << (len(bounds).bit_length() - 1)
+    while step:
+        reach = F.col("_bucket") + step
+        found = found.withColumn("_bucket", F.when(F.get(ladder, reach - 1) <= key, reach).otherwise(F.col("_bucket")))
+        step >>= 1
+    return found, order, bounds
+
+
+def _orderable(df: DataFrame, term: Column) -> Column:
+    """The term as bigint, double or text, so that bounds can be written as literals."""
+    dtype = df.select(term).schema[0].dataType
+    if is_integral(dtype):
+        return term.cast("bigint")
+    return term.cast("double") if is_number(dtype) else term.cast("string")
+
+
+def _literal(value, kind: str) -> str:
+    if value is None:
+        return f"CAST(NULL AS {kind})"
+    if kind == "string":
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}L" if kind == "bigint" else f"double('{value!r}')"
 
 
 def _null_first(values: tuple):
@@ -96,12 +121,12 @@ def look_back(df: DataFrame, order: list[Column], series: list[str], build: Call
     """
     rows = df.count() if rows is None else rows
     keys = [column(s) for s in series]
-    bucket, bounds = range_buckets(df, keys + order, rows, per_bucket)
+    keyed, terms, bounds = with_buckets(df, keys + order, rows, per_bucket)
+    order = terms[len(keys):]
+    helpers = ["_bucket", "_at", "_size", *[f"_o{i}" for i in range(len(terms))]]
     if not bounds:
         window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-        return df.withColumns(build(window))
-    keyed = df.withColumns({"_bucket": bucket, **{f"_o{i}": c for i, c in enumerate(order)}})
-    order = [F.col(f"_o{i}") for i in range(len(order))]
+        return keyed.withColumns(build(window)).drop(*helpers)
     group = Window.partitionBy("_bucket", *keys)
     local = group.orderBy(*order)
     body = keyed.withColumns(
@@ -114,13 +139,12 @@ def look_back(df: DataFrame, order: list[Column], series: list[str], build: Call
         cut = {tuple(b[: len(series)]) for b in bounds}
         split = reduce(
             lambda a, b: a | b,
-            [reduce(lambda a, b: a & b, [k.eqNullSafe(F.lit(v)) for k, v in zip(keys, values)]) for values in cut],
+            [reduce(lambda a, b: a & b, [k.eqNullSafe(F.lit(v)) for k, v in zip(terms, values)]) for values in cut],
         )
     head = split & (F.col("_at") <= reach)
     edges = body.filter(split & ((F.col("_at") <= reach) | (F.col("_size") - F.col("_at") < reach))).drop(*made)
     joined = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
     mended = edges.withColumns(build(joined)).filter(F.col("_at") <= reach)
-    helpers = ["_bucket", "_at", "_size", *[f"_o{i}" for i in range(len(order))]]
     return body.filter(~head).unionByName(mended).drop(*helpers)
 
 
@@ -128,9 +152,7 @@ def global_position(df: DataFrame, order: list[Column], output: str = "position"
                     per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Each row's 1-based place in the whole order: place in its bucket plus earlier buckets."""
     rows = df.count() if rows is None else rows
-    bucket, bounds = range_buckets(df, order, rows, per_bucket)
-    keyed = df.withColumns({"_bucket": bucket, **{f"_o{i}": c for i, c in enumerate(order)}})
-    terms = [F.col(f"_o{i}") for i in range(len(order))]
+    keyed, terms, bounds = with_buckets(df, order, rows, per_bucket)
     local = Window.partitionBy("_bucket").orderBy(*terms)
     placed = keyed.withColumn("_at", F.row_number().over(local))
     if bounds:
