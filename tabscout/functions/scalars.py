@@ -24,8 +24,8 @@ DATE_LAYOUTS = (
 )
 # Shapes a text must have before a parse is attempted.
 DATE_SHAPE = r"^\s*(\d{1,4}[-/]\d{1,2}[-/]\d{1,4}|\d{1,2}[- ][A-Za-z]{3,9}[- ]\d{4}|[A-Za-z]{3,9} \d{1,2}, \d{4})"
+DATE_LENGTHS = (6, 40)
 ISO_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
-NUMBER_SHAPE = r"^[-+]?\d+(\.\d+)?$"
 DATE_PARTS = ("year", "month", "dayofweek")
 
 
@@ -122,6 +122,8 @@ def parse_dates(c: Column | str) -> Column:
     """Text to timestamp, one layout per value; unreadable values are NULL."""
     c = column(c) if isinstance(c, str) else c
     text = F.trim(c.cast("string"))
+    # Long text is never a date; the length test spares it the patterns.
+    text = F.when(F.length(c.cast("string")).between(*DATE_LENGTHS), text)
     other = F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)) for layout in DATE_LAYOUTS])
     return F.when(text.rlike(ISO_SHAPE), F.try_to_timestamp(text)).when(text.rlike(DATE_SHAPE), other)
 

@@ -139,21 +139,29 @@ def association_matrix(df: DataFrame, names: list[str], categorical: list[str] |
 
     mixed = [(a, b) for a, b in upper if (a in labels) != (b in labels)]
     if mixed:
+        # Rows are repeated once per category column and carry all numbers along.
         slots = [
             F.struct(
-                F.lit(i).alias("pair"),
-                column(a if a in labels else b).cast("string").alias("k"),
-                column(b if a in labels else a).cast("double").alias("x"),
+                F.lit(i).alias("slot"), column(k).cast("string").alias("k"),
+                *[column(x).cast("double").alias(f"x{j}") for j, x in enumerate(numbers)],
             )
-            for i, (a, b) in enumerate(mixed)
+            for i, k in enumerate(labels)
         ]
-        groups = (
-            df.select(F.explode(F.array(*slots)).alias("s")).select("s.*")
-            .filter("k is not null and x is not null")
-            .groupBy("pair", "k")
-            .agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("spread"))
-        )
-        parts.append(_named(_ratio_from_groups(groups, ["pair"]), mixed))
+        stats = [
+            e
+            for j in range(len(numbers))
+            for e in (F.count(f"x{j}").alias(f"n{j}"), F.avg(f"x{j}").alias(f"mean{j}"), F.var_pop(f"x{j}").alias(f"spread{j}"))
+        ]
+        levels = df.select(F.explode(F.array(*slots)).alias("s")).select("s.*").filter("k is not null").groupBy("slot", "k").agg(*stats)
+        each = F.array(*[
+            F.struct(F.lit(j).alias("number"), F.col(f"n{j}").alias("n"), F.col(f"mean{j}").alias("mean"), F.col(f"spread{j}").alias("spread"))
+            for j in range(len(numbers))
+        ])
+        groups = levels.select("slot", F.explode(each).alias("e")).select("slot", "e.*").filter("n > 0")
+        groups = groups.withColumn("pair", F.col("slot") * len(numbers) + F.col("number")).drop("slot", "number")
+        numbered = {i * len(numbers) + j: (k, x) for i, k in enumerate(labels) for j, x in enumerate(numbers)}
+        back = {frozenset(p): p for p in mixed}
+        parts.append(_named(_ratio_from_groups(groups, ["pair"]), {i: back[frozenset(p)] for i, p in numbered.items()}))
 
     label_pairs = [(a, b) for a, b in upper if a in labels and b in labels]
     if label_pairs:
@@ -169,7 +177,7 @@ def association_matrix(df: DataFrame, names: list[str], categorical: list[str] |
             .groupBy("pair", "x", "y")
             .agg(F.count(F.lit(1)).alias("o"))
         )
-        parts.append(_named(_v_from_cells(cells, ["pair"]), label_pairs))
+        parts.append(_named(_v_from_cells(cells, ["pair"]), dict(enumerate(label_pairs))))
 
     half = parts[0]
     for part in parts[1:]:
@@ -183,7 +191,7 @@ def association_matrix(df: DataFrame, names: list[str], categorical: list[str] |
     return half.unionByName(mirror)
 
 
-def _named(values: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+def _named(values: DataFrame, pairs: dict[int, tuple[str, str]]) -> DataFrame:
     spark = values.sparkSession
-    names = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, a string, b string")
+    names = spark.createDataFrame([(i, a, b) for i, (a, b) in pairs.items()], "pair int, a string, b string")
     return names.join(values, "pair").select("a", "b", "value", F.lit(False).alias("signed"))

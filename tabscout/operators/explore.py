@@ -120,7 +120,9 @@ def distribution_stats(df: DataFrame, profiles: list[ColumnProfile] | None = Non
     )
     if not chosen:
         return df.sparkSession.createDataFrame([], schema)
-    quart = exact_quantiles(df, [p.name for p in chosen], [0.25, 0.5, 0.75], {p.name: p.present for p in chosen})
+    quart = {p.name: (p.quartiles[0], p.median, p.quartiles[1]) for p in chosen if p.quartiles}
+    open_ = [p for p in chosen if not p.quartiles]
+    quart |= exact_quantiles(df, [p.name for p in open_], [0.25, 0.5, 0.75], {p.name: p.present for p in open_})
     exprs = []
     for i, p in enumerate(chosen):
         c = column(p.name).cast("double")
@@ -284,7 +286,7 @@ def column_highlights(df: DataFrame, profiles: list[ColumnProfile] | None = None
                       stats: DataFrame | None = None) -> DataFrame:
     """Long-tailed, outlier-heavy and single-valued columns."""
     df = sanitize_numeric(df)
-    profiles = profiles if profiles is not None else column_profiles(df)
+    profiles = profiles if profiles is not None else column_profiles(df, quartiles=True)
     stats = stats if stats is not None else distribution_stats(df, profiles)
     facts = {r["column"]: r for r in stats.collect()}  # one row per numeric column
     found = []
@@ -324,7 +326,7 @@ def highlights(df: DataFrame, profiles: list[ColumnProfile] | None = None, stats
                duplicates: int | None = None) -> DataFrame:
     """Up to six callouts: duplicates first, then columns, then correlated pairs."""
     df = sanitize_numeric(df)
-    profiles = profiles if profiles is not None else column_profiles(df)
+    profiles = profiles if profiles is not None else column_profiles(df, quartiles=True)
     spark = df.sparkSession
     rows = profiles[0].rows if profiles else 0
     if duplicates is None:
@@ -373,7 +375,7 @@ def explore(df: DataFrame, approximate_distinct: bool = False) -> Exploration:
     """The full exploration of a table."""
     df = sanitize_numeric(df)
     spark = df.sparkSession
-    profiles = column_profiles(df, approximate_distinct=approximate_distinct)
+    profiles = column_profiles(df, approximate_distinct=approximate_distinct, quartiles=True)
     rows = profiles[0].rows if profiles else 0
     duplicates = duplicate_rows(df).first()["duplicate_rows"]
     missing = sum(p.missing for p in profiles)

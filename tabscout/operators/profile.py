@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabscout.functions.scalars import (
-    NUMBER_SHAPE,
     column,
     dtype_of,
     is_flag,
@@ -75,6 +74,7 @@ class ColumnProfile:
     high: float | None = None
     mean: float | None = None
     median: float | None = None
+    quartiles: tuple[float, float] | None = None
     top: tuple[tuple[str, int], ...] = field(default=())
 
     @property
@@ -175,18 +175,16 @@ def _fact_exprs(df: DataFrame, name: str, i: int) -> list[Column]:
         number = c.cast("double")
         exprs += [F.min(c).alias(f"low{i}"), F.max(c).alias(f"high{i}"), F.avg(number).alias(f"mean{i}")]
     if is_text(dtype):
-        exprs += [
-            F.count_if(parse_dates(c).isNotNull()).alias(f"dates{i}"),
-            F.count_if(c.rlike(NUMBER_SHAPE)).alias(f"digits{i}"),
-        ]
+        exprs.append(F.count_if(parse_dates(c).isNotNull()).alias(f"dates{i}"))
     return exprs
 
 
 def classify_kind(family: str, present: int, unique: int, low=None, high=None,
-                  dates: int = 0, digits: int = 0) -> str:
+                  dates: int = 0) -> str:
     """The semantic kind of a column from its counts.
 
-    The date test looks at all present values, so it does not depend on row order.
+    The date test looks at all present values, so it does not depend on row order. Plain
+    numbers kept as text match no date layout, so they never count as dates.
     """
     if present == 0 or family == "other":
         return "unsupported"
@@ -201,7 +199,7 @@ def classify_kind(family: str, present: int, unique: int, low=None, high=None,
             if unique / (high - low + 1) >= DENSE_ID_SPAN_SHARE:
                 return "id_like"
         return "numeric"
-    if digits < present and dates / present >= DATE_TEXT_SHARE:
+    if dates / present >= DATE_TEXT_SHARE:
         return "datetime"
     if unique > FEW_DISTINCT and unique / present > TEXT_ID_DISTINCT_SHARE:
         return "id_like"
@@ -222,14 +220,14 @@ def column_facts(df: DataFrame, approximate_distinct: bool = False) -> list[Colu
         row = df.agg(*exprs).first().asDict()
         total = row["total"]
         for i, _ in batch:
-            facts[i] = {k: row.get(f"{k}{i}") for k in ("n", "low", "high", "mean", "dates", "digits")}
+            facts[i] = {k: row.get(f"{k}{i}") for k in ("n", "low", "high", "mean", "dates")}
     unique = distinct_counts(df, names, approximate_distinct)
     profiles = []
     for i, name in enumerate(names):
         dtype = dtype_of(df, name)
         fact = facts[i]
         kind = classify_kind(type_family(dtype), fact["n"], unique[name], fact["low"], fact["high"],
-                             fact["dates"] or 0, fact["digits"] or 0)
+                             fact["dates"] or 0)
         numeric = kind == "numeric"
         profiles.append(
             ColumnProfile(
@@ -248,12 +246,17 @@ def column_facts(df: DataFrame, approximate_distinct: bool = False) -> list[Colu
     return profiles
 
 
-def column_profiles(df: DataFrame, top_k: int = TOP_VALUES, approximate_distinct: bool = False) -> list[ColumnProfile]:
-    """Facts plus exact medians (numeric kinds) and the most common values (categorical)."""
+def column_profiles(df: DataFrame, top_k: int = TOP_VALUES, approximate_distinct: bool = False,
+                    quartiles: bool = False) -> list[ColumnProfile]:
+    """Facts plus exact medians (numeric kinds) and the most common values (categorical).
+
+    ``quartiles`` finds the outer quartiles in the same passes as the median.
+    """
     df = sanitize_numeric(df)
     facts = column_facts(df, approximate_distinct)
     numeric = [p for p in facts if p.kind == "numeric"]
-    medians = exact_quantiles(df, [p.name for p in numeric], [0.5], {p.name: p.present for p in numeric})
+    shares = [0.5, 0.25, 0.75] if quartiles else [0.5]
+    medians = exact_quantiles(df, [p.name for p in numeric], shares, {p.name: p.present for p in numeric})
     labels = [p.name for p in facts if p.kind == "categorical"]
     tops: dict[str, list[tuple[str, int]]] = {}
     if labels:
@@ -264,6 +267,7 @@ def column_profiles(df: DataFrame, top_k: int = TOP_VALUES, approximate_distinct
             **{
                 **p.__dict__,
                 "median": medians[p.name][0] if p.name in medians else None,
+                "quartiles": tuple(medians[p.name][1:]) or None if p.name in medians else None,
                 "top": tuple(tops.get(p.name, ())),
             }
         )

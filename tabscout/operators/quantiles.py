@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from tabscout.functions.scalars import column
 
-SMALL_ROWS = 1_000_000  # rows an exact percentile buffer may hold per column
+SMALL_ROWS = 100_000  # rows an exact percentile buffer may hold per column
 SETTLE_ROWS = 100_000  # rows one narrowed interval may hold
-CELLS_PER_JOB = 4_000_000  # values buffered by one aggregate over several columns
-HUNTS_PER_JOB = 16
+CELLS_PER_JOB = 1_600_000  # values buffered by one aggregate over several columns
+HUNTS_PER_JOB = 60
 SKETCH_ACCURACY = 10_000
 
 
@@ -68,8 +68,9 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]], counts: dict[s
     pending = hunts
     while pending:
         ready = [h for h in pending if h.inside <= settle_rows]
-        for start in range(0, len(ready), HUNTS_PER_JOB):
-            _settle(df, ready[start:start + HUNTS_PER_JOB])
+        width = max(1, CELLS_PER_JOB // max([h.inside for h in ready], default=1) or 1)
+        for start in range(0, len(ready), min(width, HUNTS_PER_JOB)):
+            _settle(df, ready[start:start + min(width, HUNTS_PER_JOB)])
         wide = [h for h in pending if not h.found]
         for start in range(0, len(wide), HUNTS_PER_JOB):
             _narrow(df, wide[start:start + HUNTS_PER_JOB])
@@ -93,32 +94,43 @@ def _settle(df: DataFrame, hunts: list[_Hunt]) -> None:
 
 
 def _narrow(df: DataFrame, hunts: list[_Hunt]) -> None:
-    """One round: sketch each interval, then count exactly around the proposals."""
-    proposals = []
-    for i, hunt in enumerate(hunts):
-        share = (hunt.rank - hunt.below) / max(hunt.inside - 1, 1)
-        reach = 2.0 / SKETCH_ACCURACY
-        marks = [max(share - reach, 0.0), min(share + reach, 1.0)]
-        c = column(hunt.name)
-        proposals.append(
-            F.percentile_approx(F.when(hunt.within(c), c), marks, SKETCH_ACCURACY).alias(f"p{i}")
+    """One round: sketch each interval, then count exactly around the proposals.
+
+    Ranks searched in the same interval share one sketch, and equal proposals one count.
+    """
+    reach = 2.0 / SKETCH_ACCURACY
+    shared: dict[tuple, list[_Hunt]] = {}
+    for hunt in hunts:
+        shared.setdefault((hunt.name, hunt.low, hunt.high), []).append(hunt)
+    sketches = []
+    for i, members in enumerate(shared.values()):
+        c = column(members[0].name)
+        shares = [(h.rank - h.below) / max(h.inside - 1, 1) for h in members]
+        marks = [m for s in shares for m in (max(s - reach, 0.0), min(s + reach, 1.0))]
+        sketches.append(
+            F.percentile_approx(F.when(members[0].within(c), c), marks, SKETCH_ACCURACY).alias(f"p{i}")
         )
-    sketch = df.agg(*proposals).first()
+    found = df.agg(*sketches).first()
+    proposals: dict[int, list] = {}
+    for i, members in enumerate(shared.values()):
+        for j, hunt in enumerate(members):
+            proposals[id(hunt)] = found[f"p{i}"][2 * j:2 * j + 2]
+    wanted = sorted({(h.name, mark) for h in hunts for mark in proposals[id(h)]})
     checks = []
-    for i, hunt in enumerate(hunts):
-        c = column(hunt.name)
-        for j, mark in enumerate(sketch[f"p{i}"]):
-            checks.append(F.count_if(c < F.lit(mark)).alias(f"lt{i}_{j}"))
-            checks.append(F.count_if(c <= F.lit(mark)).alias(f"le{i}_{j}"))
+    for i, (name, mark) in enumerate(wanted):
+        c = column(name)
+        checks += [F.count_if(c < F.lit(mark)).alias(f"lt{i}"), F.count_if(c <= F.lit(mark)).alias(f"le{i}")]
     tally = df.agg(*checks).first()
-    for i, hunt in enumerate(hunts):
+    place = {key: i for i, key in enumerate(wanted)}
+    for hunt in hunts:
         top = hunt.below + hunt.inside
-        for j, mark in enumerate(sketch[f"p{i}"]):
-            under, upto = tally[f"lt{i}_{j}"], tally[f"le{i}_{j}"]
+        for mark in proposals[id(hunt)]:
+            i = place[hunt.name, mark]
+            under, upto = tally[f"lt{i}"], tally[f"le{i}"]
             if under <= hunt.rank < upto:
                 hunt.value, hunt.found = mark, True
                 break
-            if upto <= hunt.rank and upto >= hunt.below:
+            if hunt.below <= upto <= hunt.rank:
                 hunt.low, hunt.below = mark, upto
             elif hunt.rank < under <= top:
                 hunt.high, top = mark, under
