@@ -22,11 +22,18 @@ def _clip(value: Column, low: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(1.0))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson r as an aggregate; NULL for a constant side, where ``corr`` would divide by zero."""
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def _pearson_expr(a: Column, b: Column) -> Column:
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
     usable = (F.count_if(both) >= MIN_PAIR_ROWS) & (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
-    r = F.corr(x, y)
+    r = correlation(a, b)
     return F.when(usable & ~F.isnan(r), _clip(r, -1.0))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabscout.functions.scalars import as_time, column, sanitize_numeric
+from tabscout.operators.associate import correlation
 from tabscout.operators.profile import (
     HIGH_MISSING_PCT,
     ColumnProfile,
@@ -233,13 +234,11 @@ def _buckets(first, last, unit: str) -> int:
 def missing_cells_pct(df: DataFrame) -> DataFrame:
     """Share of empty cells, in percent with one decimal."""
     df = sanitize_numeric(df)
-    empty = sum((F.when(column(n).isNull(), 1).otherwise(0) for n in df.columns), F.lit(0))
-    cells = F.count(F.lit(1)) * len(df.columns)
-    return df.agg(
-        F.when(F.count(F.lit(1)) == 0, 0.0)
-        .otherwise(F.round(100.0 * F.sum(empty) / cells, 1))
-        .alias("missing_cells_pct")
-    )
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(column(n)).alias(f"p{i}") for i, n in enumerate(df.columns)]).first()
+    cells = row["n"] * len(df.columns)
+    empty = cells - sum(row[f"p{i}"] for i in range(len(df.columns)))
+    share = round(100.0 * empty / cells, 1) if cells else 0.0
+    return df.sparkSession.createDataFrame([(share,)], "missing_cells_pct double")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -265,7 +264,7 @@ def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     for start in range(0, len(pairs), PAIRS_PER_JOB):
         batch = pairs[start:start + PAIRS_PER_JOB]
         row = df.agg(
-            *[_corr(column(a).cast("double"), column(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(batch)]
+            *[correlation(column(a).cast("double"), column(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(batch)]
         ).first()
         for i, (a, b) in enumerate(batch):
             r = row[f"r{i}"]
@@ -273,10 +272,6 @@ def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position int, a string, b string, r double")
 
 
-def _corr(a: Column, b: Column) -> Column:
-    return F.corr(a, b)
-
-
 # ---------------------------------------------------------------- highlights
 
 HIGHLIGHT_SCHEMA = "place int, tone string, code string, column string, other string, value double"

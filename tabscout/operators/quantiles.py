@@ -68,9 +68,9 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]], counts: dict[s
     pending = hunts
     while pending:
         ready = [h for h in pending if h.inside <= settle_rows]
-        width = max(1, CELLS_PER_JOB // max([h.inside for h in ready], default=1) or 1)
-        for start in range(0, len(ready), min(width, HUNTS_PER_JOB)):
-            _settle(df, ready[start:start + min(width, HUNTS_PER_JOB)])
+        width = _batch_width([h.inside for h in ready])
+        for start in range(0, len(ready), width):
+            _settle(df, ready[start:start + width])
         wide = [h for h in pending if not h.found]
         for start in range(0, len(wide), HUNTS_PER_JOB):
             _narrow(df, wide[start:start + HUNTS_PER_JOB])
@@ -81,6 +81,12 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]], counts: dict[s
     return result
 
 
+def _batch_width(rows: list[int]) -> int:
+    """How many buffers of these sizes one aggregate may hold together."""
+    largest = max([1, *rows])
+    return max(1, min(HUNTS_PER_JOB, CELLS_PER_JOB // largest))
+
+
 def _settle(df: DataFrame, hunts: list[_Hunt]) -> None:
     """Read ranks out of intervals already known to hold few rows."""
     exprs = []
@@ -152,8 +158,7 @@ def exact_quantiles(df: DataFrame, names: list[str], shares: list[float],
         counts = non_null_counts(df, names)
     result: dict[str, list[float | None]] = {}
     small = [n for n in names if counts[n] <= small_rows]
-    width = max(1, CELLS_PER_JOB // max([counts[n] for n in small], default=1) or 1)
-    width = min(width, HUNTS_PER_JOB)
+    width = _batch_width([counts[n] for n in small])
     for start in range(0, len(small), width):
         batch = small[start:start + width]
         row = df.agg(

@@ -12,6 +12,12 @@ from tabscout.plans.registry import query, table
 NUMERIC_TYPES = ("bigint", "int", "double")
 
 
+def one_decimal(x: str) -> str:
+    """Round to one decimal from the exact binary value, as the percentages are defined;
+    ``round`` would first scale the number and turn 21.149999… into a tie."""
+    return f"printf('%.1f', {x})::double"
+
+
 def facts_sql(source: str, columns: dict[str, str]) -> str:
     """One row per column with counts and kind, from standard SQL."""
     parts = []
@@ -32,7 +38,7 @@ def facts_sql(source: str, columns: dict[str, str]) -> str:
                     "when u > 0.95 * p and u >= 0.8 * (hi - lo + 1) then 'id_like' else 'numeric' end")
         parts.append(
             f"select {i} as position, '{c}' as \"column\", {kind} as kind, '{t}' as dtype, n as row_count, "
-            f"n - p as missing_count, round(100.0::double * (n - p) / n, 1) as missing_pct, u as unique_count, "
+            f"n - p as missing_count, {one_decimal('100.0::double * (n - p) / n')} as missing_pct, u as unique_count, "
             f"lo, hi, mu, med from (select count(*) as n, count({c}) as p, count(distinct {c}) as u, "
             f"{low} as lo, {high} as hi, {mean} as mu, {median} as med from {source})"
         )
@@ -253,8 +259,10 @@ def time_bins_monthly(spark, d):
     return X.time_bins(df, ["o_orderdate"])
 
 
-@query("missing_cells_pct", f"""select round(100.0::double * sum({' + '.join(
-    f'(case when {c} is null then 1 else 0 end)' for c in fx.LINEITEM_COLUMNS)}) / (count(*) * 11), 1)
+CELLS_MISSING = " + ".join(f"(case when {c} is null then 1 else 0 end)" for c in fx.LINEITEM_COLUMNS)
+
+
+@query("missing_cells_pct", f"""select {one_decimal(f'100.0::double * sum({CELLS_MISSING}) / (count(*) * 11)')}
   as missing_cells_pct from {fx.GAPPY_LINEITEM}""")
 def missing_cells_pct(spark, d):
     return X.missing_cells_pct(fx.gappy_lineitem(spark, d))

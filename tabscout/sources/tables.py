@@ -54,7 +54,7 @@ def sniff_delimiter(spark: SparkSession, path: str) -> str:
 
 def pick_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line holds bytes that are not, then Latin-1."""
-    broken = spark.read.text(path).filter(F.contains(F.col("value"), F.lit("�"))).limit(1).count()
+    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if broken else "UTF-8"
 
 
