@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscout.functions.scalars import column
+from tabscout.operators.joins import join_small
 from tabscout.operators.ordering import ROWS_PER_BUCKET, with_buckets
 
 # Curve resolution, and the limits behind each warning.
@@ -223,7 +224,8 @@ def class_imbalance(df: DataFrame, target: str) -> DataFrame:
 def balanced_weights(df: DataFrame, target: str, output: str = "weight") -> DataFrame:
     """Add n / (k · class rows) per row when some class is rare, else 1."""
     weights = class_counts(df, target).select(F.col("label").alias("_label"), F.col("weight").alias(output))
-    return df.join(weights, column(target).cast("string") == F.col("_label"), "left").drop("_label")
+    labelled = df.withColumn("_label", column(target).cast("string"))
+    return join_small(labelled, weights, ["_label"], "left").drop("_label")
 
 
 # ---------------------------------------------------------------- groups

@@ -39,6 +39,7 @@ DOMINANT_LIMIT = 0.95
 CORRELATION_LIMIT = 0.85
 DUPLICATE_LIMIT = 0.01
 MAX_HIGHLIGHTS = 6
+HOT_HASHES = 1000
 PAIRS_PER_JOB = 120
 TIME_LABELS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 
@@ -244,15 +245,21 @@ def missing_cells_pct(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of identical rows.
 
-    Only an 8-byte row hash is shuffled for the whole table. Rows whose hash occurs
-    more than once are then compared in full, so a hash collision cannot miscount.
+    Only an 8-byte row hash is shuffled for the whole table. Rows whose hash occurs more
+    than once are then compared in full, so a hash collision cannot miscount. Hashes that
+    hold a thousandth of the table or more (at most a thousand) are picked out by broadcast
+    and collapse before their shuffle; the others go through an ordinary semi-join.
     """
     df = sanitize_numeric(df)
     hashed = df.withColumn("_hash", F.xxhash64(*[column(n) for n in df.columns]))
-    repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hash")
-    suspects = hashed.join(repeated, "_hash", "left_semi")
-    keys = ["_hash", *df.columns]
-    groups = suspects.groupBy(*[column(k) for k in keys]).agg((F.count(F.lit(1)) - 1).alias("_extra"))
+    counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    repeated = counts.filter("_n > 1")
+    heavy = F.col("_n") * HOT_HASHES >= total
+    hot = hashed.join(F.broadcast(repeated.filter(heavy).select("_hash")), "_hash", "left_semi")  # <= 1000 rows
+    cold = hashed.join(repeated.filter(~heavy).select("_hash"), "_hash", "left_semi")
+    keys = [column(k) for k in ["_hash", *df.columns]]
+    groups = hot.unionAll(cold).groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_extra"))
     return groups.agg(F.coalesce(F.sum("_extra"), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tabscout.errors import TabularError
 from tabscout.functions.scalars import column, hash_key
+from tabscout.operators.joins import join_small
 from tabscout.operators.ordering import before_rank, cut_points, order_terms
 
 # Split sizes, in thousandths, and fold count.
@@ -57,7 +58,7 @@ def hash_cutoffs(df: DataFrame, key: list[str], stratum: Column | None, ranks: d
     )
     place = Window.partitionBy("stratum", "mark").orderBy("h")
     hits = (
-        keyed.join(steps, ["stratum", "prefix"])
+        join_small(keyed, steps, ["stratum", "prefix"])
         .withColumn("at", F.row_number().over(place))
         .filter("at = place")
         .select("stratum", "mark", "h")
@@ -84,10 +85,7 @@ def _with_cutoffs(df: DataFrame, key: list[str], stratum: str | None, ranks: dic
         "_stratum": column(stratum).cast("string") if stratum else F.lit(""),
         "_h": hash_key(*key),
     })
-    if stratum is None:
-        return marked.drop("_stratum").crossJoin(F.broadcast(cuts.drop("_stratum")))  # one row
-    # One row per class. Broadcast is left to the size Spark measures at run time.
-    return marked.join(cuts, "_stratum", "left").drop("_stratum")
+    return join_small(marked, cuts, ["_stratum"], "left").drop("_stratum")
 
 
 def strata_sizes(df: DataFrame, stratum: str) -> int:

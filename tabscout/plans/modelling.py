@@ -25,7 +25,6 @@ from tabscout.operators.features import apply_feature_spec, build_feature_spec
 from tabscout.operators.profile import column_facts, column_profiles
 from tabscout.plans import fixtures as fx
 from tabscout.plans.registry import query, table
-from tabscout.plans.shaping import _scratch
 
 QUICK = T.Params(n_estimators=5, max_depth=4, max_bins=32)
 KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -231,7 +230,7 @@ def monotone_score(spark, d):
 @query("save_and_load_model", "select count(*) as rows, true as same from lineitem")
 def save_and_load_model(spark, d):
     model = trained(spark, d, "number").model
-    path = _scratch(spark)
+    path = TR.scratch_path(spark, "io")
     T.save_model(model, path)
     both = model.score(_number_rows(spark, d)).withColumnsRenamed({"prediction": "p1", "low": "l1", "high": "h1"})
     again = T.load_model(spark, path).score(both)
@@ -546,7 +545,7 @@ def best_run(spark, d):
 
 @query("record_and_list_runs", "select 2 as runs, 'complete' as latest_status, round(avg(o_totalprice), 4) as score from orders")
 def record_and_list_runs(spark, d):
-    path = _scratch(spark)
+    path = TR.scratch_path(spark, "io")
     score = table(spark, d, "orders").agg(F.avg("o_totalprice")).first()[0]
     at = datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
     first = R.record_run(spark, path, R.run_row("orders", "o_totalprice", "regression", "queued", created_at=at))

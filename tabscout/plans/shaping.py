@@ -14,6 +14,7 @@ from tabscout.operators.profile import column_facts
 from tabscout.plans import fixtures as fx
 from tabscout.plans.profiling import top_sql
 from tabscout.plans.registry import query, table
+from tabscout.operators.trees import scratch_path
 from tabscout.sources import tables as IO
 
 # ------------------------------------------------------------------ columns
@@ -418,19 +419,9 @@ def append_future(spark, d):
 # ------------------------------------------------------------------ sources
 
 
-def _scratch(spark) -> str:
-    """A fresh folder beside the session's checkpoints, or a temporary one on one machine."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or tempfile.mkdtemp(prefix="tabscout-")
-    return f"{base}/run-{uuid.uuid4().hex}"
-
-
 @query("read_csv", "select n_nationkey, n_name, n_regionkey from nation union all select c_custkey, c_name, c_nationkey from customer")
 def read_csv(spark, d):
-    folder = _scratch(spark)
+    folder = scratch_path(spark, "io")
     both = table(spark, d, "nation").unionAll(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"))
     both.write.option("header", True).option("sep", ";").csv(folder)
     return IO.read_csv(spark, folder)
@@ -438,7 +429,7 @@ def read_csv(spark, d):
 
 @query("sniff_delimiter", "select '|' as delimiter, 4.0::double as per_line, 1.0::double as agreement")
 def sniff_delimiter(spark, d):
-    folder = _scratch(spark)
+    folder = scratch_path(spark, "io")
     table(spark, d, "customer").write.option("header", True).option("sep", "|").csv(folder)
     found = IO.sniff_delimiter(spark, folder)
     return IO.delimiter_counts(spark, folder).filter(F.col("delimiter") == found).select(
@@ -447,7 +438,7 @@ def sniff_delimiter(spark, d):
 
 @query("save_dataset", "select count(*) as row_count, sum(c_acctbal)::decimal(18,2)::double as balance, 5 as columns from customer")
 def save_dataset(spark, d):
-    folder = _scratch(spark)
+    folder = scratch_path(spark, "io")
     data, about = IO.load_dataset(spark, folder, IO.save_dataset(table(spark, d, "customer"), folder))
     return data.agg(F.count(F.lit(1)).alias("row_count"), F.round(F.sum("c_acctbal"), 2).alias("balance")).crossJoin(
         F.broadcast(about.agg(F.count(F.lit(1)).cast("int").alias("columns"))))
@@ -460,7 +451,7 @@ def preview(spark, d):
 
 @query("validation_round_trip", "select o_orderkey, '0' || (o_orderkey % 7)::varchar as code, o_totalprice from orders")
 def validation_round_trip(spark, d):
-    folder = _scratch(spark)
+    folder = scratch_path(spark, "io")
     df = table(spark, d, "orders").select(
         "o_orderkey", F.concat(F.lit("0"), (F.col("o_orderkey") % 7).cast("string")).alias("code"), "o_totalprice")
     IO.write_validation(df, folder)

@@ -1,10 +1,8 @@
-"""Session defaults and the durable cut points used by multi-pass jobs."""
+"""Session defaults the operators rely on."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Settings every job here relies on.
 REQUIRED_CONF = {
@@ -38,16 +36,3 @@ def local_session(name: str = "tabscout", cores: str = "*", shuffle_partitions:
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
 
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the checkpoint folder the cluster names.
-
-    A folder is chosen here only when the session has none, which is the case
-    in tests on one machine.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tabscout-checkpoint-"))
-    return df.checkpoint(eager=True)
