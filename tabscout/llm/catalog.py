@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscout.llm import packing, pieces, pii, warc
+from tabscout.llm import packing, pieces, pii, rules, warc
 from tabscout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,11 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans_of_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op3_rules")
+def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_report(table(spark, sf_dir, "documents"))
+
+
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENS)

@@ -49,13 +49,10 @@ def join_by_key(left: DataFrame, right: DataFrame, key: str, count: str) -> Data
     total = right.agg(F.sum(count)).first()[0] or 0
     least = max(2.0, total / HOT_SHARE)
     right = right.withColumnRenamed(key, "_k")
-    # A table with a row or two of small numbers; both branches keep whole rows of the left side.
     hot = F.broadcast(right.filter(F.col(count) >= least))
-    tagged = left.join(hot.select(F.col("_k").alias("_hot")), left[key].eqNullSafe(F.col("_hot")), "left")
-    is_hot = F.col("_hot").isNotNull()
-    first = tagged.filter(is_hot).drop("_hot").join(hot, left[key].eqNullSafe(hot["_k"]), "left").drop("_k")
-    cold = right.filter(F.col(count) < least)
-    rest = tagged.filter(~is_hot).drop("_hot").join(cold, left[key].eqNullSafe(cold["_k"]), "left").drop("_k")
+    same = left[key].eqNullSafe(F.col("_k"))
+    first = left.join(hot, same, "inner").drop("_k")
+    rest = left.join(hot.select("_k"), same, "left_anti").join(right.filter(F.col(count) < least), same, "left").drop("_k")
     return first.unionByName(rest)
 
 
