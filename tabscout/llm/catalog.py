@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscout.llm import merkle, packing, pieces, pii, rules, simhash, warc
+from tabscout.llm import brown, merkle, packing, pieces, pii, rules, simhash, warc
 from tabscout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op8_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edited_report(table(spark, sf_dir, "documents"))
 
 
+@query("op9_brown")
+def op9_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op10_pieces")
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
