@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscout.llm import brown, merkle, packing, pieces, pii, rules, simhash, warc
+from tabscout.llm import brown, merkle, packing, pieces, pii, rules, simhash, warc, weaklabels
 from tabscout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENS)
 
 
+@query("op6_weaklabels")
+def op6_weaklabels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weaklabels.quality_scores(table(spark, sf_dir, "documents"))
+
+
 @query("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
