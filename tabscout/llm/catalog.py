@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscout.llm import brown, merkle, packing, pieces, pii, rules, simhash, warc, weaklabels
+from tabscout.llm import brown, merkle, packing, pieces, pii, rules, simhash, suffixes, warc, weaklabels
 from tabscout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op3_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+@query("op4_suffixes")
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removal_report(table(spark, sf_dir, "documents"))
+
+
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENS)
