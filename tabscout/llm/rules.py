@@ -89,7 +89,7 @@ def fences(measured: DataFrame) -> DataFrame:
         F.count("*").alias("_n"), *(F.kll_sketch_agg_double(s, SKETCH_K).alias(s) for s in SHARES))
     own = written(own)  # a few kilobytes a group, read three times
     merged = [F.kll_merge_agg_double(s, SKETCH_K).alias(s) for s in SHARES]
-    everything = own.agg(*merged)
+    everything = own.agg(F.sum("_n").alias("_n"), *merged).filter("_n > 0")  # an empty sketch has no quantiles
     languages = own.groupBy("lang").agg(F.sum("_n").alias("_lang_n"), *merged)
 
     def bounds(prefix: str) -> list[Column]:
