@@ -25,7 +25,8 @@ from tabscout.llm.common import documents_text, in_batches, values, written
 LENGTH = 2048
 END_ID = 1
 DIMENSIONS, BITS, BUCKETS, SEED = 4, 15, 1024, 20240101
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_000_000
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 TOKENS = pa.schema([("doc_id", pa.int64()), ("curve", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
 TOKENS_DDL = "doc_id long, curve long, n long, ids binary"
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -34,13 +35,16 @@ PIECES_DDL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens l
 
 class Words:
     """Ids of texts, word by word: the tokenizer drops white space and never merges across it, so that words between
-    blanks can be looked up. New words go to the tokenizer in one batch."""
+    blanks can be looked up. Of new words, letters and the punctuation after them are tokens of their own, and the
+    tokenizer lowers case, so that "Word," is "word" and ","."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
+        size = self.tokenizer.get_vocab_size()
+        self.width = "<u2" if size < 1 << 16 else "<u4"
+        self.ends_word = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
         self.cache: dict[str, bytes] = {"": b""}
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
@@ -49,12 +53,42 @@ class Words:
         if len(cache) > CACHE_WORDS:
             cache.clear()
             cache[""] = b""
-        new = list({w for words in split for w in words if w not in cache})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
+        self.learn(set().union(*split).difference(cache))
+        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), dtype=self.width) for words in split]
+
+    def learn(self, new: set[str]) -> None:
+        cache, parts, whole = self.cache, {}, []
+        for word in new:
+            letters = word.rstrip(PUNCTUATION)
+            # Below U+0250 lower case is a matter of single letters, as the tokenizer takes it.
+            if letters.isalpha() and (letters.isascii() or (max(letters) < "\u0250" and letters.lower().isalpha())):
+                parts[word] = letters.lower(), word[len(letters) :]
+            else:
+                whole.append(word)
+        self.learn_letters(list({low for low, _ in parts.values() if low not in cache}))
+        self.learn_whole([*whole, *({tail for _, tail in parts.values()}.difference(cache))])
+        for word, (low, tail) in parts.items():
+            cache[word] = cache[low] + cache[tail]
+
+    def learn_whole(self, words: list[str]) -> None:
+        for k in range(0, len(words), 10_000):
+            part = words[k : k + 10_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[word] = np.array(found.ids, dtype=self.width).tobytes()
-        return [np.frombuffer(b"".join([cache[w] for w in words]), dtype=self.width) for words in split]
+                self.cache[word] = np.array(found.ids, dtype=self.width).tobytes()
+
+    def learn_letters(self, words: list[str]) -> None:
+        """Words of letters alone, many in one text: each ends with a token that ends words."""
+        for k in range(0, len(words), 10_000):
+            part = words[k : k + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=self.width)
+            ends = (np.nonzero(self.ends_word[ids])[0] + 1) * ids.itemsize
+            if len(ends) != len(part):
+                self.learn_whole(part)
+                continue
+            data, start = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist()):
+                self.cache[word] = data[start:end]
+                start = end
 
 
 @lru_cache(maxsize=2)
