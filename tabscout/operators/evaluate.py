@@ -79,7 +79,7 @@ def roc_auc(scored: DataFrame, actual: str, probability: str, positive: str,
     distinct = levels.count()
     bucketed, _, _ = with_buckets(levels, [F.col("s")], distinct, per_bucket)
     placed = bucketed.select("s", "pos", "neg", F.col("_bucket").alias("b"))
-    # At most 512 buckets.
+    # One row per bucket.
     sums = placed.groupBy("b").agg(F.sum("neg").alias("bucket_neg"))
     earlier = sums.select(
         "b", (F.sum("bucket_neg").over(Window.partitionBy(F.lit(0)).orderBy("b")) - F.col("bucket_neg")).alias("before")

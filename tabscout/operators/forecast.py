@@ -7,6 +7,8 @@ forecast in Arrow batches, many series at a time, with the model's trees broadca
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
@@ -14,10 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscout.errors import TabularError
-from tabscout.functions.scalars import as_time, coerce_numeric, column, sanitize_numeric
+from tabscout.functions.scalars import as_time, coerce_numeric, column, quoted, sanitize_numeric
 from tabscout.operators.explain import require_regression
-from tabscout.operators.ordering import look_back, order_terms
-from tabscout.operators.series import DAY_MICROS, LAGS, TRAILING, date_pattern, typical_step
+from tabscout.operators.ordering import order_terms
+from tabscout.operators.series import DAY_MICROS, LAGS, TRAILING, date_gaps, date_pattern, median_gap, typical_step
 from tabscout.operators.training import Band, TrainedModel
 from tabscout.operators.trees import Forest, Tree, read_forest
 
@@ -138,14 +140,10 @@ def last_states(df: DataFrame, time: str, target: str, key: list[str], series: l
     if not series:
         step = typical_step(df, time).first()["step_micros"]
         return state.withColumn("_step", F.lit(step))
-    # Per series the median gap comes from a mergeable sketch, so one long series cannot
-    # fill a task's memory.
-    gaps = look_back(dated.select(*by, "_at"), [F.unix_micros("_at")], series,
-                     lambda w: {"_gap": F.unix_micros("_at") - F.lag(F.unix_micros("_at")).over(w)}, 1)
-    steps = gaps.groupBy(*by).agg(F.percentile_approx("_gap", 0.5, 100_000).alias("_g"))
-    joined = state.join(steps, series, "left")
-    step = F.when(F.col("_g") > 0, F.col("_g")).otherwise(F.lit(DAY_MICROS))
-    return joined.withColumn("_step", step).drop("_g")
+    steps = median_gap(date_gaps(dated.select(*by, "_at"), "_at", series), series)
+    same = [state[quoted(s)].eqNullSafe(steps[quoted(s)]) for s in series]
+    joined = state.join(steps, reduce(lambda a, b: a & b, same), "left").select(*[state[quoted(c)] for c in state.columns], "step_micros")
+    return joined.withColumn("_step", F.coalesce("step_micros", F.lit(DAY_MICROS))).drop("step_micros")
 
 
 def forecast(model: TrainedModel, df: DataFrame, time: str, steps: int, key: list[str],
@@ -165,31 +163,26 @@ def forecast(model: TrainedModel, df: DataFrame, time: str, steps: int, key: lis
     bands = band_forest(spark, model.band, len(model.encoder.slots)) if model.band else None
     shared = spark.sparkContext.broadcast((model.forest, bands, _plan(model, time), steps))
 
-    @F.pandas_udf("array<struct<step:int,at:bigint,predicted:double,low:double,high:double>>")
-    def run(base: pd.Series, history: pd.Series, last: pd.Series, step: pd.Series) -> pd.Series:
+    @F.pandas_udf("predicted array<double>, low array<double>, high array<double>")
+    def run(base: pd.Series, history: pd.Series, last: pd.Series, step: pd.Series) -> pd.DataFrame:
         forest, band, plan, count = shared.value
-        if not len(base):
-            return pd.Series([], dtype=object)
-        x = np.stack(base.to_numpy())
+        x = np.stack(base.to_numpy()) if len(base) else np.zeros((0, len(plan)))
         values = np.full((len(x), HISTORY), np.nan)
         for i, known in enumerate(history):
             known = np.asarray(known, dtype=float)[-HISTORY:]
             if len(known):
                 values[i, HISTORY - len(known):] = known
         start, gap = last.to_numpy(dtype=np.int64), step.to_numpy(dtype=np.int64)
-        out: list[list[dict]] = [[] for _ in range(len(x))]
-        for k in range(1, count + 1):
-            at = start + gap * k
-            ready = _step_vector(x, plan, values, at)
-            predicted = np.round(forest.predict(ready)[:, 0], 4)
+        points, lows, highs = (np.full((len(x), count), np.nan) for _ in range(3))
+        for k in range(count if len(x) else 0):
+            ready = _step_vector(x, plan, values, start + gap * (k + 1))
+            points[:, k] = np.round(forest.predict(ready)[:, 0], 4)
             if band is not None:
                 edges = np.nanmean(np.stack([t.predict(ready) for t in band.trees]), axis=0)
                 edges = np.sort(np.round(edges, 4), axis=1)
-            for i in range(len(x)):
-                low, high = (float(edges[i, 0]), float(edges[i, 1])) if band is not None else (None, None)
-                out[i].append({"step": k, "at": int(at[i]), "predicted": float(predicted[i]), "low": low, "high": high})
-            values = np.concatenate([values[:, 1:], predicted[:, None]], axis=1)
-        return pd.Series(out)
+                lows[:, k], highs[:, k] = edges[:, 0], edges[:, 1]
+            values = np.concatenate([values[:, 1:], points[:, k : k + 1]], axis=1)
+        return pd.DataFrame({"predicted": list(points), "low": list(lows), "high": list(highs)})
 
     points = vectors.select(
         F.col("_k0").alias("_state"),
@@ -197,8 +190,10 @@ def forecast(model: TrainedModel, df: DataFrame, time: str, steps: int, key: lis
     )
     pattern = F.when(F.col("_state._step") >= DAY_MICROS, F.lit(date_pattern(DAY_MICROS))).otherwise(F.lit(date_pattern(1)))
     shown = points.select(
-        *[F.col(f"_state._row.`{g}`").alias(g) for g in groups], pattern.alias("_pattern"), F.explode("_p").alias("p"))
-    at = F.timestamp_micros("p.at")
+        *[F.col(f"_state._row.`{g}`").alias(g) for g in groups], pattern.alias("_pattern"), "_state",
+        F.posexplode(F.arrays_zip("_p.predicted", "_p.low", "_p.high")).alias("_k", "p"))
+    at = F.timestamp_micros(F.unix_micros(F.col("_state._last")) + (F.col("_k") + 1) * F.col("_state._step"))
     text = F.when(F.col("_pattern") == date_pattern(DAY_MICROS), F.date_format(at, date_pattern(DAY_MICROS))).otherwise(
         F.date_format(at, date_pattern(1)))
-    return shown.select(*groups, F.col("p.step").alias("step"), text.alias("date"), "p.predicted", "p.low", "p.high")
+    edge = lambda name: F.when(~F.isnan(f"p.{name}"), F.col(f"p.{name}")).alias(name)
+    return shown.select(*groups, (F.col("_k") + 1).cast("int").alias("step"), text.alias("date"), "p.predicted", edge("low"), edge("high"))

@@ -1,7 +1,7 @@
 """Row order at any size: balanced range buckets, look-back windows, rank cut points.
 
 A window over one long series would run as one task. Rows are instead assigned to
-range buckets by literal bounds, each bucket runs its own window, and only the few rows
+range buckets by a broadcast row of bounds, each bucket runs its own window, and only the few rows
 at bucket edges are recomputed together. A row's *position* is never materialised for
 splits: the ordering values at the wanted ranks are found by aggregates and the split
 becomes a plain filter.
@@ -10,7 +10,6 @@ becomes a plain filter.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,8 +19,8 @@ from tabscout.functions.scalars import as_time, column, dtype_of, is_integral, i
 from tabscout.operators.quantiles import order_statistics
 
 ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 512
-SAMPLE_PER_BUCKET = 64
+# Sampled order tuples per bucket, and in all; with fewer per bucket, buckets are less even, never fewer.
+SAMPLE_PER_BUCKET, SAMPLE = 64, 1 << 20
 LOWEST = -(2.0**62)
 
 
@@ -56,39 +55,36 @@ def _tuple_less(left: list[Column], right: list) -> Column:
 
 
 def with_buckets(df: DataFrame, terms: list[Column], rows: int, per_bucket: int = ROWS_PER_BUCKET,
-                 seed: int = 42) -> tuple[DataFrame, list[Column], list[tuple]]:
+                 seed: int = 42) -> tuple[DataFrame, list[Column], int]:
     """Add ``_bucket``, a number that follows the order of ``terms``, and the terms as columns.
 
-    Returns the table, the term columns and the bucket bounds. Bounds are whole tuples from
-    a bounded sample (at most 64 per bucket), so equal leading values can still be split by
-    the later terms. They only steer balance: any bounds give a correct order.
+    Returns the table, the term columns and the number of bounds. There are as many buckets
+    as ``rows / per_bucket`` asks for. Bounds are whole tuples from a bounded sample, so equal
+    leading values can still be split by the later terms. They only steer balance: any bounds
+    give a correct order. They travel as one broadcast row and are searched by halving.
     """
     named = df.withColumns({f"_o{i}": _orderable(df, t) for i, t in enumerate(terms)})
     order = [F.col(f"_o{i}") for i in range(len(terms))]
-    wanted = min(MAX_BUCKETS, -(-rows // per_bucket))
+    wanted = -(-rows // per_bucket)
     if wanted <= 1:
-        return named.withColumn("_bucket", F.lit(0)), order, []
-    share = min(1.0, wanted * SAMPLE_PER_BUCKET / rows)
+        return named.withColumn("_bucket", F.lit(0)), order, 0
+    share = min(1.0, min(wanted * SAMPLE_PER_BUCKET, SAMPLE) / rows)
     slim = named.select(*order)
     sample = slim if share >= 1.0 else slim.sample(share, seed)
-    limit = MAX_BUCKETS * SAMPLE_PER_BUCKET * 2
-    points = sorted((tuple(r) for r in sample.limit(limit).collect()), key=_null_first)
+    points = sorted((tuple(r) for r in sample.collect()), key=_null_first)
     bounds = sorted({points[len(points) * i // wanted] for i in range(1, wanted)}, key=_null_first) if points else []
     if not bounds:
-        return named.withColumn("_bucket", F.lit(0)), order, []
-    types = [f.dataType.simpleString() for f in slim.schema.fields]
-    ladder = F.expr("array(" + ", ".join(
-        "named_struct(" + ", ".join(f"'k{i}', {_literal(v, t)}" for i, (v, t) in enumerate(zip(b, types))) + ")" for b in bounds
-    ) + ")")
+        return named.withColumn("_bucket", F.lit(0)), order, 0
+    fields = ", ".join(f"k{i}: {f.dataType.simpleString()}" for i, f in enumerate(slim.schema.fields))
+    ladder = df.sparkSession.createDataFrame([(bounds,)], f"_ladder array<struct<{fields}>>")
     key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    # Binary search over a literal array: one short projection per halving.
-    found = named.withColumn("_bucket", F.lit(0))
+    found = named.crossJoin(F.broadcast(ladder)).withColumn("_bucket", F.lit(0))  # one row of at most SAMPLE tuples
     step = 1 << (len(bounds).bit_length() - 1)
     while step:
         reach = F.col("_bucket") + step
-        found = found.withColumn("_bucket", F.when(F.get(ladder, reach - 1) <= key, reach).otherwise(F.col("_bucket")))
+        found = found.withColumn("_bucket", F.when(F.get("_ladder", reach - 1) <= key, reach).otherwise(F.col("_bucket")))
         step >>= 1
-    return found, order, bounds
+    return found.drop("_ladder"), order, len(bounds)
 
 
 def _orderable(df: DataFrame, term: Column) -> Column:
@@ -99,14 +95,6 @@ def _orderable(df: DataFrame, term: Column) -> Column:
     return term.cast("double") if is_number(dtype) else term.cast("string")
 
 
-def _literal(value, kind: str) -> str:
-    if value is None:
-        return f"CAST(NULL AS {kind})"
-    if kind == "string":
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"{value}L" if kind == "bigint" else f"double('{value!r}')"
-
-
 def _null_first(values: tuple):
     return tuple((v is not None, v) for v in values)
 
@@ -122,30 +110,37 @@ def look_back(df: DataFrame, order: list[Column], series: list[str], build: Call
     rows = df.count() if rows is None else rows
     keys = [column(s) for s in series]
     keyed, terms, bounds = with_buckets(df, keys + order, rows, per_bucket)
-    order = terms[len(keys):]
-    helpers = ["_bucket", "_at", "_size", *[f"_o{i}" for i in range(len(terms))]]
+    given, order = order, terms[len(keys):]
+    helpers = ["_bucket", "_at", "_size", "_first", "_last", *[f"_o{i}" for i in range(len(terms))]]
     if not bounds:
         window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
         return keyed.withColumns(build(window)).drop(*helpers)
+    # Buckets follow the series, so only a bucket's first and last series can go on in another bucket.
+    own, whole = F.struct(*[t.alias(f"k{i}") for i, t in enumerate(terms[: len(keys)])]) if keys else F.lit(0), Window.partitionBy("_bucket")
+    keyed = keyed.withColumns({"_first": F.min(own).over(whole), "_last": F.max(own).over(whole)})
     group = Window.partitionBy("_bucket", *keys)
     local = group.orderBy(*order)
     body = keyed.withColumns(
         {**build(local), "_at": F.row_number().over(local), "_size": F.count(F.lit(1)).over(group)}
     )
     made = [c for c in body.columns if c not in keyed.columns and c not in ("_at", "_size")]
-    split = F.lit(True)
-    if series:
-        # A series needs repair only if a bound falls inside it.
-        cut = {tuple(b[: len(series)]) for b in bounds}
-        split = reduce(
-            lambda a, b: a | b,
-            [reduce(lambda a, b: a & b, [k.eqNullSafe(F.lit(v)) for k, v in zip(terms, values)]) for values in cut],
-        )
+    split = own.eqNullSafe(F.col("_first")) | own.eqNullSafe(F.col("_last"))
     head = split & (F.col("_at") <= reach)
-    edges = body.filter(split & ((F.col("_at") <= reach) | (F.col("_size") - F.col("_at") < reach))).drop(*made)
-    joined = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-    mended = edges.withColumns(build(joined)).filter(F.col("_at") <= reach)
-    return body.filter(~head).unionByName(mended).drop(*helpers)
+    edges = body.filter(split & ((F.col("_at") <= reach) | (F.col("_size") - F.col("_at") < reach)))
+    mark = "_head"
+    while mark in df.columns:  # edges of edges
+        mark += "_"
+    edges = edges.withColumn(mark, head).drop(*made, *helpers)
+    # A few rows per bucket; should they be many themselves, they go to buckets again.
+    few = max(per_bucket, 16 * reach)
+    at_edges = min(rows, 4 * reach * (bounds + 1))
+    if at_edges > few and at_edges < rows:
+        mended = look_back(edges, given, series, build, reach, at_edges, few)
+    else:
+        joined = Window.partitionBy(*([column(s) for s in series] or [F.lit(0)])).orderBy(*given)
+        mended = edges.withColumns(build(joined))
+    mended = mended.filter(F.col(mark)).drop(mark)
+    return body.filter(~head).drop(*helpers).unionByName(mended.drop(*helpers))
 
 
 def global_position(df: DataFrame, order: list[Column], output: str = "position", rows: int | None = None,
@@ -156,7 +151,7 @@ def global_position(df: DataFrame, order: list[Column], output: str = "position"
     local = Window.partitionBy("_bucket").orderBy(*terms)
     placed = keyed.withColumn("_at", F.row_number().over(local))
     if bounds:
-        # At most 512 buckets, so their running total is one small window.
+        # One row per bucket, so their running total is one small window.
         sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size"))
         running = Window.partitionBy(F.lit(0)).orderBy("_bucket")
         starts = sizes.select("_bucket", (F.sum("_size").over(running) - F.col("_size")).alias("_start"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabscout.functions.scalars import (
@@ -16,7 +16,6 @@ from tabscout.functions.scalars import (
     sanitize_numeric,
 )
 from tabscout.operators.ordering import ROWS_PER_BUCKET, look_back, order_terms
-from tabscout.operators.quantiles import exact_quantiles
 
 # How far back the generated features look.
 LAGS = (1, 2, 3)
@@ -79,17 +78,43 @@ def prepare_time_frame(df: DataFrame, time: str, target: str, key: list[str], se
     return frame, history_names(df, target), tally["n"] - tally["kept"]
 
 
+def date_gaps(df: DataFrame, time: str, series: list[str], per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Each gap in microseconds between consecutive dates of a series, with how often it occurs.
+
+    Equal dates are counted first, so a moment that many rows share is one row from then on.
+    """
+    by = [column(s) for s in series]
+    dated = df.select(*by, F.unix_micros(as_time(df, time)).alias("moment")).filter("moment is not null")
+    moments = dated.groupBy(*by, "moment").agg(F.count(F.lit(1)).alias("shared"))
+    apart = look_back(moments, [F.col("moment")], series, lambda w: {"apart": F.col("moment") - F.lag("moment").over(w)}, 1, per_bucket=per_bucket)
+    both = F.array(F.struct(F.col("apart").alias("gap"), F.lit(1).cast("bigint").alias("times")),
+                   F.struct(F.lit(0).cast("bigint").alias("gap"), (F.col("shared") - 1).alias("times")))
+    gaps = apart.select(*by, F.explode(both).alias("g")).select(*by, "g.gap", "g.times")
+    return gaps.filter("gap is not null and times > 0").groupBy(*by, "gap").agg(F.sum("times").alias("times"))
+
+
+def median_gap(gaps: DataFrame, series: list[str]) -> DataFrame:
+    """``series`` and ``step_micros``: the middle gap, or the mean of the two middle ones.
+
+    The counted gaps of one series lie in order in its window, one row per different gap.
+    """
+    by = [column(s) for s in series]
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    upto = F.sum("times").over(whole.orderBy("gap"))
+    placed = gaps.select(*by, "gap", "times", upto.alias("upto"), F.sum("times").over(whole).alias("n"))
+
+    def holding(rank: Column) -> Column:
+        return F.max(F.when((F.col("upto") - F.col("times") <= rank) & (rank < F.col("upto")), F.col("gap")))
+
+    low, high = holding(F.floor((F.col("n") - 1) / 2)), holding(F.floor(F.col("n") / 2))
+    median = F.floor((low + high) / 2)
+    return placed.groupBy(*by).agg(F.when(median > 0, median).otherwise(F.lit(DAY_MICROS)).cast("bigint").alias("step_micros"))
+
+
 def typical_step(df: DataFrame, time: str, per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """The median gap between consecutive dates in microseconds; one day when there is none."""
-    dated = df.select(as_time(df, time).alias("at")).filter("at is not null")
-    order = [F.unix_micros("at")]
-    gaps = look_back(
-        dated, order, [], lambda w: {"gap": F.unix_micros("at") - F.lag(F.unix_micros("at")).over(w)}, 1,
-        per_bucket=per_bucket,
-    )
-    median = exact_quantiles(gaps, ["gap"], [0.5])["gap"][0]
-    step = int(median) if median is not None and median > 0 else DAY_MICROS
-    return df.sparkSession.createDataFrame([(step,)], "step_micros bigint")
+    found = median_gap(date_gaps(df, time, [], per_bucket), [])
+    return found.agg(F.coalesce(F.max("step_micros"), F.lit(DAY_MICROS)).cast("bigint").alias("step_micros"))
 
 
 def date_pattern(step_micros: int) -> str:

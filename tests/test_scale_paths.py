@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tabscout.operators import ordering as O
+from tabscout.operators import series as S
 from tabscout.operators import split as SP
 from tabscout.operators.evaluate import roc_auc
 from tabscout.operators.explore import duplicate_rows
@@ -95,7 +96,37 @@ def test_hot_moment_is_spread_over_buckets(spark):
     rows, df = hot_series(spark)
     keyed, _, bounds = O.with_buckets(df, O.order_terms(df, "at", ["id"]), len(rows), per_bucket=100)
     sizes = [r["count"] for r in keyed.groupBy("_bucket").count().collect()]
-    assert len(bounds) > 10 and max(sizes) < 250
+    assert bounds > 10 and max(sizes) < 250
+
+
+def test_buckets_are_not_capped(spark, monkeypatch):
+    """Thousands of buckets, some of them shorter than the reach, with edges that go to buckets again."""
+    rows, df = hot_series(spark, 6000)
+    keyed, _, bounds = O.with_buckets(df, O.order_terms(df, "at", ["id"]), len(rows), per_bucket=5)
+    assert bounds > 900 and keyed.agg(F.countDistinct("_bucket")).first()[0] > 900
+    monkeypatch.setattr(O, "SAMPLE", 3000)
+    for series in (None, "s"):
+        frame, _, _ = prepare_time_frame(df, "at", "v", ["id"], series, per_bucket=40)
+        same_history(frame.collect(), brute_lags(rows, series))
+
+
+def test_typical_step_with_hot_moments(spark):
+    """The median of all gaps, zero ones between equal moments included, for one series and for each of many."""
+    base = 1_700_000_000
+    moments = {"a": [0, 1, 4, 5, 8, 9], "b": [0] * 50 + [7, 9], "c": [3], "d": [0, 2, 6, 12, 20], None: [1, 4]}
+    rows = [(k, base + 86400 * m) for k, ms in moments.items() for m in ms]
+    df = spark.createDataFrame(rows, "k string, at long").withColumn("at", F.timestamp_seconds("at"))
+
+    def median(ms):
+        gaps = [b - a for a, b in zip(sorted(ms), sorted(ms)[1:])]
+        middle = int(np.median(gaps) * 86_400_000_000) if gaps else 0
+        return middle if middle > 0 else 86_400_000_000
+
+    got = {r["k"]: r["step_micros"] for r in S.median_gap(S.date_gaps(df, "at", ["k"], 3), ["k"]).collect()}
+    assert got == {k: median(ms) for k, ms in moments.items() if len(ms) > 1}
+    for k, ms in moments.items():
+        one = df.filter(F.col("k").eqNullSafe(F.lit(k)))
+        assert S.typical_step(one, "at", 4).first()["step_micros"] == median(ms)
 
 
 def test_text_lags(spark):
