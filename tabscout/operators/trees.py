@@ -7,8 +7,6 @@ Arrow-batched array arithmetic on rows where they already lie: nothing is shuffl
 
 from __future__ import annotations
 
-import itertools
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 from math import factorial
@@ -39,6 +37,34 @@ class Tree:
             return np.isin(values, self.categories[node])
         return values <= self.threshold[node]
 
+    def rising(self, rules: dict[int, int]) -> Tree:
+        """Where a split tests a ruled slot, a value between its two sides becomes the bound of both: the lower side may
+        not exceed it nor the upper side fall below it. Bounds go down to the leaves, whose values are clipped."""
+        value = self.value.copy()
+        if not any(int(f) in rules for f in self.feature):
+            return self
+        waiting = [(0, np.full(value.shape[1], -np.inf), np.full(value.shape[1], np.inf))]
+        while waiting:
+            node, low, high = waiting.pop()
+            value[node] = np.clip(self.value[node], low, high)
+            if self.left[node] < 0:
+                continue
+            left, right = int(self.left[node]), int(self.right[node])
+            direction = rules.get(int(self.feature[node]), 0) if node not in self.categories else 0
+            if not direction:
+                waiting += [(left, low, high), (right, low, high)]
+                continue
+            lower, upper = (left, right) if direction > 0 else (right, left)
+            parts, cover = self.value[[left, right]], self.cover[[left, right]]
+            # Sides in the wrong order meet at their mean, weighted by rows; others part in the middle.
+            wrong = self.value[lower] > self.value[upper]
+            middle = np.clip(np.where(wrong, np.average(parts, axis=0, weights=np.maximum(cover, 1e-9)), parts.mean(axis=0)), low, high)
+            waiting += [(lower, low, middle), (upper, middle, high)]
+        # Clipping must not lift or lower the tree as a whole.
+        ends = self.left < 0
+        value += np.average(self.value[ends] - value[ends], axis=0, weights=np.maximum(self.cover[ends], 1e-9))
+        return Tree(self.feature, self.threshold, self.left, self.right, self.cover, value, self.categories)
+
     def predict(self, x: np.ndarray) -> np.ndarray:
         at = np.zeros(len(x), dtype=np.int64)
         active = np.flatnonzero(self.left[at] >= 0)
@@ -102,14 +128,9 @@ class Forest:
             total += w * tree.predict(x)
         return total
 
-    def thresholds(self, slot: int) -> np.ndarray:
-        found = {
-            t.threshold[n]
-            for t in self.trees
-            for n in range(len(t.feature))
-            if t.left[n] >= 0 and t.feature[n] == slot and n not in t.categories
-        }
-        return np.array(sorted(found))
+    def rising(self, rules: dict[int, int]) -> Forest:
+        """The forest with every tree made monotone in the given slots (1 rises, -1 falls); sums of such trees are too."""
+        return Forest([t.rising(rules) for t in self.trees], self.weights, self.slots) if rules else self
 
     def leaves(self) -> list[list[_Leaf]]:
         if self._leaves is None:
@@ -174,13 +195,28 @@ def _leaf_paths(tree: Tree) -> list[_Leaf]:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder all executors can see: under the session's checkpoint folder."""
+    """A fresh folder all executors can see: under the session's checkpoint folder, else under its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        base = tempfile.mkdtemp(prefix="tabscout-")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder through the file system it is on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def saved_nodes(spark: SparkSession, model) -> list:
+    """The nodes of a fitted tree model, bounded by its trees × 2^depth."""
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    try:
+        return node_table(spark, path).collect()
+    finally:
+        drop_scratch(spark, path)
+
+
 def node_table(spark: SparkSession, path: str) -> DataFrame:
     """One row per node of a saved tree model."""
     raw = spark.read.parquet(f"{path}/data")
@@ -193,18 +229,15 @@ def node_table(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_forest(spark: SparkSession, model, slots: int, path: str | None = None) -> Forest:
+def read_forest(spark: SparkSession, model, slots: int) -> Forest:
     """The ensemble of a fitted MLlib tree model.
 
     Boosted models give the margin (MLlib codes classes ±1, so log-odds are twice it);
     forests of classes give averaged class shares.
     """
-    if path is None:
-        path = scratch_path(spark, "model")
-        model.write().save(path)
     kind = type(model).__name__
     grouped: dict[int, list] = {}
-    for row in node_table(spark, path).collect():  # bounded by trees × 2^depth
+    for row in saved_nodes(spark, model):
         grouped.setdefault(row["tree"], []).append(row)
     shares = kind in ("RandomForestClassificationModel", "DecisionTreeClassificationModel")
     trees = [_tree(grouped[i], shares) for i in sorted(grouped)]
@@ -270,40 +303,12 @@ def shap_column(spark: SparkSession, forest: Forest, groups: list[int], features
     return explain(features, output)
 
 
-def margin_column(spark: SparkSession, forest: Forest, features: Column,
-                  monotone: dict[int, int] | None = None) -> Column:
-    """The ensemble's first output, made monotone in the given vector slots.
-
-    Trees are constant between split thresholds, so the running maximum over the values
-    at all lower intervals (higher ones for direction −1) is exact.
-    """
-    rules = [(slot, direction, forest.thresholds(slot)) for slot, direction in (monotone or {}).items()]
-    shared = spark.sparkContext.broadcast((forest, rules))
+def margin_column(spark: SparkSession, forest: Forest, features: Column) -> Column:
+    """The ensemble's first output."""
+    shared = spark.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
     def score(vectors: pd.Series) -> pd.Series:
-        trees, constraints = shared.value
-        if not len(vectors):
-            return pd.Series([], dtype=float)
-        x = _matrix(vectors)
-        best = trees.predict(x)[:, 0]
-        # Each rule either keeps the row's own value or moves it to another interval.
-        choices = [[None, *thresholds] for _, _, thresholds in constraints]
-        for combo in itertools.product(*choices):
-            if all(c is None for c in combo):
-                continue
-            moved, valid = x.copy(), np.ones(len(x), dtype=bool)
-            for (slot, direction, _), t in zip(constraints, combo):
-                if t is None:
-                    continue
-                if direction > 0:
-                    valid &= t < x[:, slot]
-                    moved[:, slot] = t
-                else:
-                    valid &= t >= x[:, slot]
-                    moved[:, slot] = np.nextafter(t, np.inf)
-            if valid.any():
-                best[valid] = np.maximum(best[valid], trees.predict(moved[valid])[:, 0])
-        return pd.Series(best)
+        return pd.Series(shared.value.predict(_matrix(vectors))[:, 0] if len(vectors) else [], dtype=float)
 
     return score(features)

@@ -137,7 +137,7 @@ def _encoded(spark, d, kind: str):
     df = rows(spark, d)
     r = trained(spark, d, kind)
     flagged = SP.training_flags(df, key, target if kind == "class" else None, df.count())
-    keep = [T.label_column(r.model.spec, flagged).alias("label"), F.col("_test"), F.col("_watch"), F.col("_fold")]
+    keep = [T.label_alias(r.model.spec, T.label_column(r.model.spec, flagged)), F.col("_test"), F.col("_watch"), F.col("_fold")]
     return r, r.model.encoder.encode(apply_feature_spec(flagged, r.model.spec, keep)).repartition(
         spark.sparkContext.defaultParallelism).persist()
 
@@ -146,7 +146,7 @@ def _encoded(spark, d, kind: str):
 def fit_with_early_stopping(spark, d):
     r, encoded = _encoded(spark, d, "class")
     model = T.fit_model(encoded.filter("not _test"), r.model.spec, r.model.encoder, QUICK, encoded.count(), False, "_watch")
-    out = spark.createDataFrame([(model.getNumTrees, T.quality(model, encoded.filter("_test"), r.model.spec))], "trees int, accuracy double")
+    out = spark.createDataFrame([(model.getNumTrees, T.quality(T.TrainedModel(r.model.spec, r.model.encoder, model), encoded.filter("_test"), r.model.spec))], "trees int, accuracy double")
     encoded.unpersist()
     return out
 
@@ -266,6 +266,13 @@ def shap_additive_number(spark, d):
     return _count(out, additive=_gap(F.col("prediction")))
 
 
+@query("shap_additive_rising", "select count(*) as rows, true as additive from lineitem")
+def shap_additive_rising(spark, d):
+    model = trained(spark, d, "rising").model
+    out = X.shap_values(model, model.score(_number_rows(spark, d)))
+    return _count(out, additive=_gap(F.col("prediction")))
+
+
 @query("shap_additive_class", "select count(*) as rows, true as additive from orders")
 def shap_additive_class(spark, d):
     model = trained(spark, d, "class").model

@@ -174,6 +174,52 @@ def test_sensitivity_and_monotone_rule(spark, rows, number):
         X.sensitivity(number.model, scenarios, "nope", "sid")
 
 
+def test_monotone_trees_keep_the_level_and_add_up(spark):
+    """On a wave the rule can't be met exactly, but predictions must not be lifted; contributions follow the rule too."""
+    h = hash_key("id")
+    wave = spark.range(4000).select("id", ((h % 1000) / 20.0).alias("x"), ((F.floor(h / 1000) % 1000) / 100.0).alias("z"))
+    wave = wave.withColumn("y", 10 * F.sin(F.col("x") / 5) + F.col("z"))
+    result = T.train(wave, "y", ["id"], exclude=("id",), overrides=T.Overrides(monotone={"x": 1, "z": 1}),
+                     params=T.Params(n_estimators=20, max_depth=4, max_bins=32), cross_validation=False, with_linear=False)
+    scored = result.model.score(wave)
+    real, guessed = scored.agg(F.avg("y"), F.avg("prediction")).first()
+    assert abs(guessed - real) < 0.05 * abs(real)
+    out = X.shap_values(result.model, scored).select((F.aggregate("contributions", F.col("bias"), lambda a, b: a + b) - F.col("prediction")).alias("gap"))
+    assert out.agg(F.max(F.abs("gap"))).first()[0] < 1e-6
+    curve = [r["output"] for r in X.sensitivity(result.model, wave.limit(1).select("id", "z"), "x", "id").orderBy("point").collect()]
+    assert all(a <= b for a, b in zip(curve, curve[1:]))
+
+
+def test_rising_tree_bounds():
+    tree = Tree(np.array([0, 0, -1, -1, 1, -1, -1]), np.array([5.0, 2.0, 0, 0, 1.0, 0, 0]), np.array([1, 2, -1, -1, 5, -1, -1]),
+                np.array([4, 3, -1, -1, 6, -1, -1]), np.array([10.0, 6, 2, 4, 4, 2, 2]), np.array([[0.0], [3.0], [5.0], [2.0], [1.0], [-4.0], [6.0]]))
+    x = np.array([[a, b] for a in np.linspace(0, 9, 40) for b in (0.0, 2.0)])
+    for direction in (1, -1):
+        fixed = tree.rising({0: direction})
+        out = fixed.predict(x)[:, 0].reshape(40, 2)
+        assert (np.diff(out, axis=0) * direction >= 0).all()
+    assert tree.rising({2: 1}) is tree
+
+
+def test_many_classes_and_rare_ones(spark):
+    """More classes than learners guess, and one that no training row may hold."""
+    h = hash_key("id")
+    many = spark.range(3000).select("id", (h % 1000).cast("double").alias("x"), F.concat(F.lit("c"), (h % 120).cast("string")).alias("k"))
+    result = T.train(many, "k", ["id"], exclude=("id",), params=T.Params(n_estimators=2, max_depth=3, max_bins=32), cross_validation=False, with_linear=False)
+    assert len(result.model.spec.classes) == 120
+    assert result.scored.select(F.size("probability")).distinct().collect()[0][0] == 120
+    for only in (3, 7, 11):  # one of them is a test row, or none: either way the run holds
+        rare = spark.range(400).select("id", (h % 100).cast("double").alias("x"), F.when(F.col("id") == only, "once").when(h % 100 < 50, "a").otherwise("b").alias("k"))
+        result = T.train(rare, "k", ["id"], exclude=("id",), **LIGHT)
+        sizes = result.model.score(rare).select(F.size("probability").alias("n")).distinct().collect()
+        assert [r["n"] for r in sizes] == [3]
+        assert X.shap_values(result.model, rare, class_index=2).count() == 400
+    with pytest.raises(TabularError) as err:
+        T.train(spark.range(3000).select("id", (h % 1000).cast("double").alias("x"), F.concat(F.lit("c"), (F.col("id") / 2).cast("int").cast("string")).alias("k")),
+                "k", ["id"], task="classification", exclude=("id",), **LIGHT)
+    assert err.value.code == "TOO_MANY_CLASSES"
+
+
 def test_save_and_load(spark, number, rows, tmp_path):
     T.save_model(number.model, str(tmp_path / "m"))
     again = T.load_model(spark, str(tmp_path / "m"))
