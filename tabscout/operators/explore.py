@@ -39,7 +39,6 @@ DOMINANT_LIMIT = 0.95
 CORRELATION_LIMIT = 0.85
 DUPLICATE_LIMIT = 0.01
 MAX_HIGHLIGHTS = 6
-HOT_HASHES = 1000
 PAIRS_PER_JOB = 120
 TIME_LABELS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 
@@ -190,36 +189,30 @@ def time_bins(df: DataFrame, names: list[str]) -> DataFrame:
             )
         ]
     ).first()
-    parts = []
+    plans = []  # per column with dates: place, name, unit, first and last period, whether gaps are filled
     for i, n in enumerate(names):
-        if spans[f"d{i}"] is None:
-            continue
-        unit = "day" if spans[f"d{i}"] <= DAY_SPAN else "month" if spans[f"d{i}"] <= MONTH_SPAN else "year"
-        first, last = spans[f"a{unit}{i}"], spans[f"b{unit}{i}"]
-        period = times[n].cast("date") if unit == "day" else F.trunc(times[n].cast("date"), unit)
-        counted = (
-            df.select(period.alias("period")).filter("period is not null").groupBy("period")
-            .agg(F.count(F.lit(1)).alias("count"))
-        )
-        if _buckets(first, last, unit) <= MAX_TIME_BUCKETS:
-            whole = spark.range(1).select(
-                F.explode(F.sequence(F.lit(first), F.lit(last), F.expr(f"interval 1 {unit}"))).alias("period")
-            )
-            counted = whole.join(counted, "period", "left")
-        parts.append(
-            counted.select(
-                F.lit(n).alias("column"),
-                F.lit(unit).alias("unit"),
-                F.date_format("period", TIME_LABELS[unit]).alias("label"),
-                F.coalesce("count", F.lit(0)).alias("count"),
-            )
-        )
-    if not parts:
+        if spans[f"d{i}"] is not None:
+            unit = "day" if spans[f"d{i}"] <= DAY_SPAN else "month" if spans[f"d{i}"] <= MONTH_SPAN else "year"
+            ends = spans[f"a{unit}{i}"], spans[f"b{unit}{i}"]
+            plans.append((i, n, unit, *ends, _buckets(*ends, unit) <= MAX_TIME_BUCKETS))
+    if not plans:
         return spark.createDataFrame([], "column string, unit string, label string, count bigint")
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionAll(part)
-    return result
+    periods = [times[n].cast("date") if unit == "day" else F.trunc(times[n].cast("date"), unit) for _, n, unit, *_ in plans]
+    each = F.array(*[F.struct(F.lit(i).alias("slot"), p.alias("period")) for (i, *_), p in zip(plans, periods)])
+    counted = df.select(F.explode(each).alias("s")).filter("s.period is not null").groupBy("s.slot", "s.period").agg(
+        F.count(F.lit(1)).alias("count"))
+    table = spark.createDataFrame(plans, "slot int, column string, unit string, first date, last date, filled boolean")
+    days = {u: F.sequence(F.col("first"), F.col("last"), F.expr(f"interval 1 {u}")) for u in TIME_LABELS}
+    every = F.when(F.col("unit") == "day", days["day"]).when(F.col("unit") == "month", days["month"]).otherwise(days["year"])
+    # At most MAX_TIME_BUCKETS rows for a filled column, and one row for each other.
+    grid = table.filter("filled").select("slot", F.explode(every).alias("period"))
+    whole = counted.join(F.broadcast(table), "slot")
+    empty = grid.join(counted.select("slot", "period"), ["slot", "period"], "left_anti").join(F.broadcast(table), "slot").withColumn(
+        "count", F.lit(0).cast("bigint"))
+    label = F.when(F.col("unit") == "day", F.date_format("period", TIME_LABELS["day"])).when(
+        F.col("unit") == "month", F.date_format("period", TIME_LABELS["month"])).otherwise(F.date_format("period", TIME_LABELS["year"]))
+    shown = ["column", "unit", label.alias("label"), "count"]
+    return whole.select(*shown).unionAll(empty.select(*shown))
 
 
 def _buckets(first, last, unit: str) -> int:
@@ -245,22 +238,15 @@ def missing_cells_pct(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Rows beyond the first of each set of identical rows.
 
-    Only an 8-byte row hash is shuffled for the whole table. Rows whose hash occurs more
-    than once are then compared in full, so a hash collision cannot miscount. Hashes that
-    hold a thousandth of the table or more (at most a thousand) are picked out by broadcast
-    and collapse before their shuffle; the others go through an ordinary semi-join.
+    One shuffle of 128 bits of hash per row, counted on the map side first, so that a row
+    which a third of the table repeats crosses it once per task. The hashes take in which
+    cells are missing.
     """
     df = sanitize_numeric(df)
-    hashed = df.withColumn("_hash", F.xxhash64(*[column(n) for n in df.columns]))
-    counts = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    repeated = counts.filter("_n > 1")
-    heavy = F.col("_n") * HOT_HASHES >= total
-    hot = hashed.join(F.broadcast(repeated.filter(heavy).select("_hash")), "_hash", "left_semi")  # <= 1000 rows
-    cold = hashed.join(repeated.filter(~heavy).select("_hash"), "_hash", "left_semi")
-    keys = [column(k) for k in ["_hash", *df.columns]]
-    groups = hot.unionAll(cold).groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_extra"))
-    return groups.agg(F.coalesce(F.sum("_extra"), F.lit(0)).alias("duplicate_rows"))
+    cells = [e for n in df.columns for e in (column(n).isNull(), column(n))]
+    names = [F.xxhash64(F.lit(seed), *cells).alias(f"h{seed}") for seed in (1, 2)]
+    groups = df.select(*names).groupBy("h1", "h2").agg((F.count(F.lit(1)) - 1).alias("extra"))
+    return groups.agg(F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicate_rows"))
 
 
 def correlation_pairs(df: DataFrame, names: list[str]) -> DataFrame:

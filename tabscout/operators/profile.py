@@ -129,6 +129,11 @@ def frequencies(df: DataFrame, names: list[str], cast: str) -> DataFrame:
     return long_values(df, names, cast).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _short(value: Column, cast: str) -> Column:
+    """Long texts by their MD5: a distinct count need not shuffle documents."""
+    return F.when(F.length(value.cast("string")) > 32, F.md5(value.cast("string"))).otherwise(value) if cast == "string" else value
+
+
 def distinct_counts(df: DataFrame, names: list[str], approximate: bool = False) -> dict[str, int]:
     """Distinct non-null values per column."""
     if not names:
@@ -142,7 +147,7 @@ def distinct_counts(df: DataFrame, names: list[str], approximate: bool = False)
     result = dict.fromkeys(names, 0)
     parts = []
     for cast, members in families.items():
-        plain = df.select(*[_countable(df, m).alias(m) for m in members])
+        plain = df.select(*[_short(_countable(df, m), cast).alias(m) for m in members])
         part = frequencies(plain, members, cast).groupBy("slot").agg(F.count(F.lit(1)).alias("unique"))
         parts.append(part.select(F.lit(cast).alias("family"), "slot", "unique"))
     table = parts[0]

@@ -174,8 +174,8 @@ def group_check_number(spark, d):
 # Runs derived from the tables: each customer is a run, its orders are its features.
 RUN_METRICS = """(select c_custkey as run_id, case when c_nationkey % 2 = 0 then 'classification' else 'regression' end as task,
   case when c_custkey % 3 = 0 then 0.9995::double else 0.8::double end as score, 0.78::double as linear_score from customer)"""
-RUN_SHARES = """(select o_custkey as run_id, o_orderkey::varchar as feature, o_totalprice / sum(o_totalprice) over (partition by o_custkey) as share
-  from orders where o_orderpriority = '1-URGENT')"""
+RUN_SHARES = """(select o_custkey as run_id, case when o_orderkey % 16 = 0 then 'rare' else 'common' end as feature,
+  sum(o_totalprice) / sum(sum(o_totalprice)) over (partition by o_custkey) as share from orders group by 1, 2)"""
 
 
 def run_metrics(spark, d):
@@ -186,11 +186,10 @@ def run_metrics(spark, d):
 
 
 def run_shares(spark, d):
-    urgent = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
-    total = urgent.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("t"))
-    return urgent.join(total, "o_custkey").select(
-        F.col("o_custkey").alias("run_id"), F.col("o_orderkey").cast("string").alias("feature"),
-        (F.col("o_totalprice") / F.col("t")).alias("share"))
+    feature = F.when(F.col("o_orderkey") % 16 == 0, "rare").otherwise("common").alias("feature")
+    sums = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run_id"), feature).agg(F.sum("o_totalprice").alias("price"))
+    total = sums.groupBy("run_id").agg(F.sum("price").alias("t"))
+    return sums.join(total, "run_id").select("run_id", "feature", (F.col("price") / F.col("t")).alias("share"))
 
 
 @query("check_leakage", f"""select m.run_id, 'POSSIBLE_LEAKAGE' as code, feature as "column" from {RUN_METRICS} m join

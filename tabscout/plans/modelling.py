@@ -514,7 +514,8 @@ def suggest_exclusions(spark, d):
 @query("leak_suspect", f"""select run_id, source from {RUN_FEATURES} where feature % 9 = 0 and is_dataset_column""")
 def leak_suspect(spark, d):
     features = run_features(spark, d)
-    warnings = features.filter("feature % 9 = 0").select("run_id", F.lit("POSSIBLE_LEAKAGE").alias("code"), F.col("feature").alias("column"))
+    code = F.when(F.col("feature") % 9 == 0, "POSSIBLE_LEAKAGE").otherwise("CLASS_IMBALANCE").alias("code")
+    warnings = features.select("run_id", code, F.col("feature").alias("column"))
     return R.leak_suspect(warnings, features)
 
 

@@ -246,17 +246,27 @@ def time_bins_daily(spark, d):
     return X.time_bins(table(spark, d, "events"), ["ts"])
 
 
-@query("time_bins_monthly", """with t as (select * from orders where o_orderdate >= timestamp '1996-01-01'
-    and o_orderdate < timestamp '1999-01-01' and month(o_orderdate) <> 5),
+@query("time_bins_monthly", """with t as (select make_date(1996 + year(o_orderdate) % 3, case month(o_orderdate) when 5 then 6 else month(o_orderdate) end, 1)
+    as o_orderdate from orders),
   s as (select date_trunc('month', min(o_orderdate)) as a, date_trunc('month', max(o_orderdate)) as b from t)
   select 'o_orderdate' as "column", 'month' as unit, strftime(y, '%Y-%m') as label,
   (select count(*) from t where date_trunc('month', o_orderdate) = y) as count
   from (select unnest(generate_series(a::timestamp, b::timestamp, interval 1 month)) as y from s)""")
 def time_bins_monthly(spark, d):
-    df = table(spark, d, "orders").filter(
-        "o_orderdate >= timestamp'1996-01-01' and o_orderdate < timestamp'1999-01-01' and month(o_orderdate) <> 5"
-    )
-    return X.time_bins(df, ["o_orderdate"])
+    """All orders, moved into three years without a May."""
+    month = F.month("o_orderdate")
+    moved = F.make_date(1996 + F.year("o_orderdate") % 3, F.when(month == 5, 6).otherwise(month), F.lit(1))
+    return X.time_bins(table(spark, d, "orders").select(moved.alias("o_orderdate")), ["o_orderdate"])
+
+
+@query("time_bins_together", """with e as (select ts::date as y, count(*) as n from events group by 1), s as (select min(y) as a, max(y) as b from e)
+  select 'ts' as "column", 'day' as unit, strftime(p, '%Y-%m-%d') as label, coalesce(n, 0)::bigint as count
+  from (select unnest(generate_series(a::timestamp, b::timestamp, interval 1 day))::date as p from s) left join e on y = p
+  union all select 'later', 'year', strftime(date_trunc('year', ts + to_days(((event_id % 9) * 400)::int)), '%Y'), count(*) from events group by 3""")
+def time_bins_together(spark, d):
+    """Two date columns of different spans in one pass."""
+    df = table(spark, d, "events").withColumn("later", F.col("ts") + F.make_dt_interval(((F.col("event_id") % 9) * 400).cast("int")))
+    return X.time_bins(df.select("ts", "later"), ["ts", "later"])
 
 
 CELLS_MISSING = " + ".join(f"(case when {c} is null then 1 else 0 end)" for c in fx.LINEITEM_COLUMNS)

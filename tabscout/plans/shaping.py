@@ -419,15 +419,21 @@ def append_future(spark, d):
 # ------------------------------------------------------------------ sources
 
 
-@query("read_csv", "select n_nationkey, n_name, n_regionkey from nation union all select c_custkey, c_name, c_nationkey from customer")
+@query("read_csv", """select n_nationkey, n_name || case when n_nationkey % 3 = 0 then chr(10) || 'he said "' || n_regionkey || ';"' else '' end
+    as n_name, n_regionkey from nation
+  union all select c_custkey, c_name || case when c_custkey % 3 = 0 then chr(10) || 'he said "' || c_nationkey || ';"' else '' end, c_nationkey from customer""")
 def read_csv(spark, d):
+    """Quoted values with line breaks, quotes and the delimiter itself."""
     folder = scratch_path(spark, "io")
     both = table(spark, d, "nation").unionAll(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey"))
-    both.write.option("header", True).option("sep", ";").csv(folder)
+    said = F.concat("n_name", F.lit('\nhe said "'), F.col("n_regionkey").cast("string"), F.lit(';"'))
+    both = both.withColumn("n_name", F.when(F.col("n_nationkey") % 3 == 0, said).otherwise(F.col("n_name")))
+    both.write.option("header", True).option("sep", ";").option("escape", '"').csv(folder)
     return IO.read_csv(spark, folder)
 
 
-@query("sniff_delimiter", "select '|' as delimiter, 4.0::double as per_line, 1.0::double as agreement")
+@query("sniff_delimiter", """select '|' as delimiter, max(len(regexp_extract_all(concat_ws('|', c_custkey, c_name, c_nationkey, c_acctbal,
+  c_mktsegment), '[|]')))::double as per_line, 1.0::double as agreement from customer""")
 def sniff_delimiter(spark, d):
     folder = scratch_path(spark, "io")
     table(spark, d, "customer").write.option("header", True).option("sep", "|").csv(folder)

@@ -17,54 +17,64 @@ DELIMITERS = (",", ";", "\t", "|")
 MAX_PREVIEW = 200
 
 
-def delimiter_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Per delimiter: its most usual count per line and the share of lines agreeing."""
+def line_traits(spark: SparkSession, path: str) -> DataFrame:
+    """One pass over the lines: how many have how many of each delimiter (kind = its place in DELIMITERS), hold bytes
+    that are not UTF-8 (kind -1) or an odd number of quotes (kind -2)."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
     bare = F.regexp_replace("value", '"[^"]*"', "")
-    counts = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("preference"), F.lit(d).alias("delimiter"),
-                (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("per_line"),
-            )
-            for i, d in enumerate(DELIMITERS)
-        ]
-    )
-    usual = (
-        lines.select(F.explode(counts).alias("s")).select("s.*")
-        .groupBy("preference", "delimiter", "per_line").agg(F.count(F.lit(1)).alias("lines"))
-    )
-    best = usual.groupBy("preference", "delimiter").agg(
-        F.max(F.struct("lines", "per_line")).alias("m"), F.sum("lines").alias("all_lines")
-    )
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    seen = [
+        *[F.struct(F.lit(i).alias("kind"), (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("per_line"))
+          for i, d in enumerate(DELIMITERS)],
+        F.struct(F.lit(-1).alias("kind"), (~F.is_valid_utf8("value")).cast("int").alias("per_line")),
+        F.struct(F.lit(-2).alias("kind"), (quotes % 2).alias("per_line")),
+    ]
+    return lines.select(F.explode(F.array(*seen)).alias("s")).groupBy("s.kind", "s.per_line").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def usual_counts(traits: DataFrame) -> DataFrame:
+    """Per delimiter: its most usual count per line and the share of lines agreeing."""
+    best = traits.filter("kind >= 0").groupBy("kind").agg(
+        F.max(F.struct("lines", "per_line")).alias("m"), F.sum("lines").alias("all_lines"))
+    names = F.array(*[F.lit(d) for d in DELIMITERS])
     return best.select(
-        "preference", "delimiter", F.col("m.per_line").alias("per_line"),
-        (F.col("m.lines") / F.col("all_lines")).alias("agreement"),
-    )
+        F.col("kind").alias("preference"), F.get(names, F.col("kind")).alias("delimiter"), F.col("m.per_line").alias("per_line"),
+        (F.col("m.lines") / F.col("all_lines")).alias("agreement"))
+
+
+def delimiter_counts(spark: SparkSession, path: str) -> DataFrame:
+    return usual_counts(line_traits(spark, path))
+
+
+def csv_layout(spark: SparkSession, path: str) -> tuple[str, str, bool]:
+    """Delimiter, encoding, and whether quoted values hold line breaks, all from one pass."""
+    traits = line_traits(spark, path).collect()  # a row for each number of delimiters in a line
+    table = spark.createDataFrame([tuple(r) for r in traits], "kind int, per_line int, lines bigint")
+    best = usual_counts(table).filter("per_line > 0").orderBy(F.desc("agreement"), F.desc("per_line"), "preference").first()
+    flagged = {r["kind"] for r in traits if r["per_line"] and r["kind"] < 0}
+    return best["delimiter"] if best else ",", "ISO-8859-1" if -1 in flagged else "UTF-8", -2 in flagged
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """The delimiter most lines agree on; a comma when nothing stands out."""
-    best = (
-        delimiter_counts(spark, path).filter("per_line > 0")
-        .orderBy(F.desc("agreement"), F.desc("per_line"), "preference").first()
-    )
-    return best["delimiter"] if best else ","
+    return csv_layout(spark, path)[0]
 
 
 def pick_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 unless some line holds bytes that are not, then Latin-1."""
-    broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if broken else "UTF-8"
+    return csv_layout(spark, path)[1]
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """A CSV with a header; delimiter, encoding and types are worked out from the file."""
+    """A CSV with a header; delimiter, encoding, line breaks in quotes and types are worked out from the file.
+
+    Files with quoted line breaks can't be split, so each is read by one task; others are split as usual.
+    """
     try:
-        sep = sep or sniff_delimiter(spark, path)
+        found, encoding, spans_lines = csv_layout(spark, path)
         df = spark.read.csv(
-            path, header=True, inferSchema=True, sep=sep, encoding=pick_encoding(spark, path),
-            multiLine=False, escape='"', ignoreLeadingWhiteSpace=False,
+            path, header=True, inferSchema=True, sep=sep or found, encoding=encoding,
+            multiLine=spans_lines, escape='"', ignoreLeadingWhiteSpace=False,
         )
     except AnalysisException as err:
         raise TabularError("UNPARSEABLE_FILE", f"That file cannot be read as CSV: {err.desc if hasattr(err, 'desc') else err}") from err
