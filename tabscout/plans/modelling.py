@@ -571,6 +571,21 @@ def compare_variants(spark, d):
     return out.select("label", "status")
 
 
+@query("run_tables", f"""select n::bigint as confusion_rows, 4 as confusion_cells, 21 as curve_points, n::bigint as calibrated_rows,
+  true as same_accuracy, true as recall_falls from (select {HELD.format(fx.PLANTED_ORDERS, 'won')} as n)""")
+def run_tables(spark, d):
+    """Confusion counts, threshold curve and calibration of the held-out rows of a run."""
+    r = trained(spark, d, "class")
+    right = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("rows"))) / F.sum("rows")
+    confusion = r.confusion().agg(F.sum("rows").alias("confusion_rows"), F.count(F.lit(1)).cast("int").alias("confusion_cells"),
+                                  (F.abs(right - F.lit(r.metrics["accuracy"])) < 1e-9).alias("same_accuracy"))
+    recalls = F.transform(F.sort_array(F.collect_list(F.struct("threshold", "recall"))), lambda x: x["recall"])
+    falls = F.forall(F.sequence(F.lit(1), F.lit(20)), lambda i: F.get("o", i) <= F.get("o", i - 1))
+    curve = r.curve().agg(recalls.alias("o")).select(F.size("o").alias("curve_points"), falls.alias("recall_falls"))
+    calibrated = r.calibration().agg(F.sum("count").alias("calibrated_rows"))
+    return confusion.crossJoin(curve).crossJoin(calibrated)  # one row each
+
+
 @query("model_report")
 def model_report(spark, d):
     r = trained(spark, d, "class")
