@@ -152,8 +152,10 @@ def close_links(points: np.ndarray, blocks: np.ndarray, across: bool, distance:
 def close_fingerprints(points: DataFrame, distance: int = DISTANCE, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """points: distinct (fp). Returns links (a, b) whose components are those of all pairs within the distance."""
     count = points.count()
-    sample = [r[0] for r in points.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()]
-    sample = np.array(sample, dtype="<i8").view("<u8")
+    # About SAMPLE of the points, by a hash of each; no task sends more than its share.
+    part = int(min(1.0, SAMPLE / max(count, 1)) * (1 << 40))
+    sample = points.filter(F.shiftrightunsigned(F.xxhash64("fp"), 24) < part).select("fp").toPandas().fp
+    sample = np.sort(sample.to_numpy(dtype="<i8")).view("<u8")
     leaf = max(2, int(len(sample) * shard / max(count, 1)))
     trees = points.sparkSession.sparkContext.broadcast([Tree(sample, mask, radius, leaf) for mask, radius in bands(distance)])
 
