@@ -423,7 +423,17 @@ def score_targets(spark, d):
     return TG.score_targets(candidates(spark, d)).select("column", "caution", "score", "derived_like", "recommended")
 
 
-@query("target_reasons")
+@query("target_reasons", f"""select "column", concat_ws(' ',
+    case caution when 'DUPLICATE' then 'One column explains it almost perfectly; they may be the same thing.'
+      when 'DERIVED' then 'It looks computed from the other columns.'
+      when 'NEAR_DUPLICATE' then 'One column explains nearly all of it; check that they differ.' end,
+    case when signal < 0.15 then 'The other columns say little about it.'
+      when task = 'classification' then 'Predicted right in ' || round(probe_score * 100)::int || '% of rows against ' || round(baseline * 100)::int || '% by guessing.'
+      else 'The other columns explain ' || round(greatest(probe_score, 0) * 100)::int || '% of its variation.' end,
+    case when task = 'classification' and unique_count = 2 then 'Two outcomes only.' end,
+    case when task = 'classification' and balance < 0.5 then 'One value dominates.' end,
+    case when missing_pct = 0 then 'Always filled in.' when missing_pct > 5 then 'Missing in ' || round(missing_pct)::int || '% of rows.' end) as reasons
+  from {SCORED}""")
 def target_reasons(spark, d):
     return TG.target_reasons(TG.score_targets(candidates(spark, d))).select("column", F.array_join("reasons", " ").alias("reasons"))
 
