@@ -302,9 +302,13 @@ def impact_summary(spark, d):
                    F.bool_and(F.col("mean_abs_contribution") > 0).alias("used_only"))
 
 
-@query("impact_points")
+@query("impact_points", f"""with t as (select * from {fx.PLANTED_ORDERS}), b as (select min(o_totalprice) as low, max(o_totalprice) as high from t)
+  select o_orderkey, 'o_totalprice' as feature, round((o_totalprice - low) / (high - low), 4) as value_norm,
+    coalesce(o_totalprice::varchar, 'missing') as value_label, true as counted from t, b
+  union all select o_orderkey, 'o_orderpriority', null, coalesce(o_orderpriority, 'missing'), true from t""")
 def impact_points(spark, d):
-    return X.impact_points(trained(spark, d, "class").model, _class_rows(spark, d), ["o_totalprice", "o_orderpriority"], ["o_orderkey"])
+    points = X.impact_points(trained(spark, d, "class").model, _class_rows(spark, d), ["o_totalprice", "o_orderpriority"], ["o_orderkey"])
+    return points.select("o_orderkey", "feature", "value_norm", "value_label", F.col("contribution").isNotNull().alias("counted"))
 
 
 CLASSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
