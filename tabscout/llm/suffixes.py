@@ -37,7 +37,7 @@ from tabscout.llm.common import documents_text, in_batches, join_by_key, values,
 LENGTH, CORE = 200, 32
 # Bytes hashed at once; anchors aggregated at once in a task; runs compared at once; runs of a core beyond which its
 # strings are compared as rows.
-PIECE, FLUSH, BATCH, LARGE = 1 << 20, 400_000, 40_000, 100_000
+PIECE, FLUSH, BATCH, LARGE = 1 << 20, 400_000, 8_000, 100_000
 PLACE_BITS = 30
 TABLES = np.random.default_rng(20240102).integers(0, 2**63, (2, 256)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(29), np.uint64(32))
