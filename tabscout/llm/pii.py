@@ -3,7 +3,7 @@
 Plain identifiers (`base_spans`) are read off the text as it is. For disguised ones the text is rewritten: characters
 that look like ASCII ones, runs of spelled digits, "plus", and the words or brackets for "at" and "dot" become what
 they stand for, and each rewritten character keeps the span of its source. Identifiers of the rewritten text are mapped
-back, and those that touch no plain identifier of their kind are added.
+back, and those that are not part of a plain identifier of their kind are added; a plain one may be a rest of them.
 
 All positions are code points, ends exclusive. Every search is linear in the text. Defined cases: a null text is an
 empty one; repeated rows are searched each; other columns are kept by `masked` and ignored by `spans_of_documents`.
@@ -228,7 +228,7 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
             start, end = step.span(start, end)
         own = taken[kind]
         k = bisect_right(own, (start, float("inf")))
-        if (k and own[k - 1][1] > start) or (k < len(own) and own[k][0] < end):
+        if k and own[k - 1][1] >= end:
             continue
         found.append((kind, start, end))
     return base, sorted(found, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))

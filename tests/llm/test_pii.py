@@ -86,3 +86,13 @@ def test_query_columns_and_odd_rows(spark):
     assert pii.spans_of_documents(docs.limit(0)).count() == 0
     kept = {r["doc_id"]: r["text"] for r in pii.masked(docs).collect()}
     assert kept == {1: None, 2: "", 3: "[EMAIL] and [IP]"}
+
+
+@pytest.mark.parametrize("address", ["j\u0430ne@example.com", "jane@example.c\u043em", "ja\u200bne@example.com", "jane@example.c\u200bom", "jane\uff0edoe@example.com"])
+def test_disguise_in_one_part_of_an_address(address):
+    """A rest of the address is a plain identifier itself; the whole one is found beside it."""
+    text = f"mail {address} now"
+    base, every = pii.all_spans(text)
+    assert base and set(base) < set(every)
+    assert ("email", 5, 5 + len(address)) in every
+    assert pii.mask_text(text) == "mail [EMAIL] now"
