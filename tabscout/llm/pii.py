@@ -52,6 +52,11 @@ _open, _close = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
 AT = re.compile(rf"{_open}(?:at|@){_close}|[ \t]+at[ \t]+|@")
 DOT = re.compile(rf"{_open}(?:dot|\.){_close}|[ \t]+dot[ \t]+|\.")
 LABEL = re.compile(r"[a-z0-9-]+")
+LETTERS = re.compile(r"[a-z]{2,}")
+_group = rf"(?:[0-9]++|{_word}(?:[ ,-]+{_word}){{0,2}})(?![a-z0-9])"
+_dot = rf"(?:{_open}(?:dot|\.){_close}|[ \t]+dot[ \t]+|\.)"
+DOTTED = re.compile(rf"(?<![a-z0-9]){_group}(?:{_dot}{_group}){{3}}")
+DOTTED_PART = re.compile(rf"{_word}|[0-9]++|{_dot}")
 ENDING = re.compile(rf"(?:{ENDINGS})(?![a-z0-9-])")
 LOCAL_TAIL = re.compile(r"[a-z0-9._%+-]+\Z")
 DOT_TAIL = re.compile(rf"(?:{_open}(?:dot|\.){_close}|[ \t]+dot[ \t]+)\Z")
@@ -159,16 +164,35 @@ def spelled_changes(low: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def dotted_changes(low: str) -> list[tuple[int, int, str]]:
+    """Figures and dots for four groups of figures or digit words between dots, if a dot or a group is disguised."""
+    if "dot" not in low and not re.search(rf"[\[({{<][ \t]*\.|{_word}\.{_word}\.", low):
+        return []
+    out = []
+    for run in DOTTED.finditer(low):
+        at = run.start()
+        for part in DOTTED_PART.finditer(low, run.start(), run.end()):
+            word = part.group()
+            if part.start() > at:
+                out.append((at, part.start(), ""))
+            new = str(DIGIT_WORDS.index(word)) if word in DIGIT_WORDS else word if word.isdigit() else "."
+            if new != word:
+                out.append((part.start(), part.end(), new))
+            at = part.end()
+    return out
+
+
 def address_changes(low: str) -> list[tuple[int, int, str]]:
     """At and dot signs for their disguises, where an address stands around them. The plain word "at" counts only
-    before a domain that spells or brackets a dot and ends in a known ending."""
+    before a domain that spells or brackets a dot and ends in a known ending; after other signs any letters end it, but
+    words after a plain address with a plain dot need a known ending too."""
     if "dot" not in low and not re.search(rf"{_open}(?:at|@|\.){_close}", low):
         return []
     out, after = [], 0
     for sign in AT.finditer(low):
         if sign.start() < after:
             continue
-        changes, at, hidden, labels, last = [], sign.end(), 0, 0, None
+        changes, at, hidden, words, labels, last = [], sign.end(), 0, 0, 0, None
         while label := LABEL.match(low, at):
             labels, last, end = labels + 1, label, label.end()
             dot = DOT.match(low, end)
@@ -177,13 +201,15 @@ def address_changes(low: str) -> list[tuple[int, int, str]]:
             if len(dot.group()) > 1:
                 changes.append((dot.start(), dot.end(), "."))
                 hidden += 1
+                words += dot.group().strip() == "dot"
             at = dot.end()
             if ENDING.match(low, at) and not DOT.match(low, ENDING.match(low, at).end()):
                 labels, last = labels + 1, ENDING.match(low, at)
                 break
         plain_sign = sign.group() == "@"
         word_sign = sign.group().strip() == "at"
-        if last is None or labels < 2 or not ENDING.fullmatch(last.group()) or (plain_sign and not hidden) or (word_sign and not hidden):
+        known = word_sign or (plain_sign and words and hidden < labels - 1)
+        if last is None or labels < 2 or not (ENDING if known else LETTERS).fullmatch(last.group()) or (plain_sign and not hidden) or (word_sign and not hidden):
             continue
         local = LOCAL_TAIL.search(low, max(after, sign.start() - 100), sign.start())
         if not local:
@@ -204,7 +230,7 @@ def address_changes(low: str) -> list[tuple[int, int, str]]:
 def deobfuscated(text: str) -> list[Rewritten]:
     """The rewriting steps, each on the text of the one before; none if the text hides nothing."""
     steps: list[Rewritten] = []
-    for find, lower in ((look_changes, False), (spelled_changes, True), (address_changes, True)):
+    for find, lower in ((look_changes, False), (spelled_changes, True), (dotted_changes, True), (address_changes, True)):
         current = steps[-1].text if steps else text
         low = current.lower() if lower else current
         if len(low) != len(current):  # a few characters grow in lower case

@@ -96,3 +96,25 @@ def test_disguise_in_one_part_of_an_address(address):
     assert base and set(base) < set(every)
     assert ("email", 5, 5 + len(address)) in every
     assert pii.mask_text(text) == "mail [EMAIL] now"
+
+
+@pytest.mark.parametrize("kind,found", [
+    ("email", "jane [at] firma [dot] nl"), ("email", "jane (at) azienda (dot) it"), ("email", "jane [at] firma dot pl"), ("email", "jane@firma[dot]jp"), ("email", "jane @ firma dot ca".replace(" @ ", "@")),
+    ("ip", "10[.]0[.]0[.]1"), ("ip", "192 dot 168 dot 1 dot 1"), ("ip", "10 (dot) 0 (dot) 0 (dot) 1"), ("ip", "one dot two dot three dot four"), ("ip", "10.0 dot zero[.]one nine"),
+])
+def test_disguises_beyond_known_endings_and_digit_words(kind, found):
+    text = f"see {found} now"
+    assert (kind, 4, 4 + len(found)) in pii.all_spans(text)[1]
+    assert pii.mask_text(text) == f"see [{kind.upper()}] now"
+
+
+@pytest.mark.parametrize("text", ["see us at firma dot nl", "jane at firma dot nl", "300 dot 1 dot 1 dot 1", "one dot two dot three", "version 1 dot 2 dot 3"])
+def test_weak_disguises_are_left_alone(text):
+    assert pii.mask_text(text) == text
+
+
+@pytest.mark.parametrize("text", ["1 dot " * 50_000, "1[.]" * 75_000, "one." * 75_000 + " dot", "dot " + "one one " * 40_000])
+def test_long_dotted_runs_take_linear_time(text):
+    start = time.process_time()
+    pii.all_spans(text)
+    assert time.process_time() - start < 5
