@@ -186,14 +186,15 @@ def close_fingerprints(points: DataFrame, distance: int = DISTANCE, shard: int =
 
 
 def grouped(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Adds to rows with doc_id and fp: component_id, the smallest doc_id reachable over links."""
+    """Adds to rows with doc_id and fp: component_id, the smallest doc_id reachable over links, and part, the least
+    fingerprint of the component: its identity, as doc_ids may be null or repeated."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     parts = components(close_fingerprints(distinct, distance))
     members = distinct.join(parts, distinct["fp"] == parts["node"], "left").withColumn("part", F.coalesce("least", "fp"))
     members = written(members.select("fp", "first", "n", "part"))
     least = members.groupBy("part").agg(F.min("first").alias("component_id"), F.count("*").alias("_fps"))
     by_fp = join_by_key(members, least, "part", "_fps")
-    return join_by_key(prints, by_fp.select("fp", F.col("n").alias("_n"), "component_id"), "fp", "_n").drop("_n")
+    return join_by_key(prints, by_fp.select("fp", F.col("n").alias("_n"), "component_id", "part"), "fp", "_n").drop("_n")
 
 
 def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
@@ -205,6 +206,6 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row of each component, the one with the smallest doc_id, all columns; of repeated rows one stays."""
     prints = written(fingerprints(docs, [row_key(docs).alias("_row")]))
-    kept = grouped(prints, distance).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_kept"))
+    kept = grouped(prints, distance).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_kept"))
     rows = docs.withColumn("_row", row_key(docs)).join(kept.select("_kept"), F.col("_row") == F.col("_kept"), "left_semi")
     return rows.dropDuplicates(["_row"]).drop("_row")

@@ -110,3 +110,11 @@ def test_components(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (200, 201), (201, 200)]
     out = dict(graph.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert out == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 150)} | {200: 200, 201: 200}
+
+
+def test_components_without_an_id_of_their_own_stay(spark):
+    """Unlike texts with null ids, and two that share one id, are not each other's copies."""
+    prose = [" ".join(f"{c}{k}" for k in range(80)) for c in "abcd"]
+    rows = [(None, prose[0]), (None, prose[1]), (7, prose[2]), (7, prose[3]), (7, prose[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    assert sorted(r.text for r in simhash.deduplicated(docs).collect()) == prose
