@@ -19,7 +19,7 @@ SYMBOLS = "#*$%&|<>"
 SHARES = ("word_length", "symbols", "capitals", "marks", "lines", "repeats")
 # A fence lies REACH times as far from the median as the quantile HIGH does, and at least SLACK beyond that quantile.
 MEDIAN, LOW, HIGH, REACH = 0.5, 0.2, 0.8, 4.0
-SLACK = {"word_length": 1.5, "symbols": 0.1, "capitals": 0.15, "marks": 0.1, "lines": 0.5, "repeats": 0.5}
+SLACK = {"word_length": 1.5, "symbols": 0.1, "capitals": 0.15, "marks": 0.1, "lines": 0.35, "repeats": 0.3}
 # Groups with fewer documents use the fences of their language, languages with fewer those of all documents.
 LEAST = 200
 SKETCH_K = 400

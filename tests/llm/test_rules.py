@@ -67,3 +67,15 @@ def test_sketched_fences_are_near_exact_ones(spark):
 def test_no_python_in_the_plan(spark, sf_dir):
     plan = rules.measures(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_repeats_far_above_a_clean_source_are_stopped(spark):
+    """Two fifths of repeated words pass the base rule, but not the fence of a source without repeats; nor do copied lines."""
+    clean = [(k, " ".join(f"word{k}x{j}" for j in range(100)), "en", "s") for k in range(300)]
+    own = [f"own{j}" for j in range(60)]
+    repeated = (1000, " ".join(own + [f"again{j}" for j in range(20)] * 2), "en", "s")
+    lines = (1001, "\n".join([" ".join(f"line{i}x{j}" for j in range(20)) for i in range(6)] + ["a b"] * 6), "en", "s")
+    docs = spark.createDataFrame([*clean, repeated, lines], "doc_id long, text string, lang string, source string")
+    out = {r.doc_id: (r.base_failed, r.kept) for r in rules.quality_report(docs).collect()}
+    assert brute(repeated[1])[4] == 40 and out[1000] == (False, False) and out[1001] == (False, False)
+    assert all(out[k] == (False, True) for k in range(300))
