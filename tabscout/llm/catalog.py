@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscout.llm import brown, merkle, packing, pieces, pii, rules, simhash, suffixes, warc, weaklabels
+from tabscout.llm import brown, merkle, packing, pieces, pii, rules, search, simhash, suffixes, warc, weaklabels
 from tabscout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,24 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+@query("op13_nra", r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
+n as (select r, doc_id, t, len(t)::bigint as n from d where len(t) > 0),
+whole as (select count(*)::bigint as docs, sum(n)::bigint as tokens from n),
+c as (select r, term, count(*)::bigint as tf from (select r, unnest(t) as term from n) group by all),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from c, whole group by term, docs),
+q as (select distinct item, item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as item, * from benchmark)),
+s as (select item, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // tokens))))::bigint as score
+  from q join c using (term) join w using (term) join n using (r), whole group by all),
+k as (select item_id, row_number() over (partition by item order by score desc, doc_id) as rank, doc_id, score from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from k where rank <= 50""")
+def op13_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
