@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscout.llm import brown, merkle, packing, pieces, pii, rules, search, simhash, suffixes, warc, weaklabels
+from tabscout.llm import brown, merkle, packing, pieces, pii, polytope, rules, search, simhash, suffixes, warc, weaklabels
 from tabscout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,24 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), PIECE_MODEL)
 
 
+@query("op11_polytope", """
+with recursive v as (select row_number() over () as r, vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.r as x, b.r as y from v a join v b on a.label = b.label and a.r <> b.r and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.93),
+reach as (select r, r as c from v union select reach.r, links.y from reach join links on reach.c = links.x),
+parts as (select reach.r, min(v.vec_id) as component_id from reach join v on reach.c = v.r group by reach.r),
+counts as (select x as r, count(*)::bigint as n_links from links group by x),
+linked as (select v.vec_id, coalesce(n_links, 0)::bigint as n_links, component_id from v join parts using (r) left join counts using (r)),
+every as (select * from linked union all select vec_id, 0::bigint, vec_id from embeddings e where not coalesce(
+  label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0, false))
+select *, vec_id is not distinct from component_id as kept from every""")
+def op11_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_nra", r"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
