@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tabscout.llm import brown, merkle, packing, pieces, pii, polytope, rules, search, simhash, suffixes, warc, weaklabels
+from tabscout.llm import brown, codes, merkle, packing, pieces, pii, polytope, rules, search, simhash, suffixes, warc, weaklabels
 from tabscout.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -107,6 +107,37 @@ def op11_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return polytope.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def codes_sql() -> str:
+    """The rounds one after another: a{k} assigns parts to the entries c{k}, whose means are c{k + 1}."""
+    sql = """
+with kept as (select row_number() over (order by vec_id nulls last, embedding) as r, vec_id, label, len(embedding)::bigint // 4 as d,
+    list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+  from embeddings where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as (select r, p, d, v[p * d + 1 : (p + 1) * d] as x from kept, range(4) t(p)),
+c0 as (select p, r - 1 as e, x as c from parts where r <= 256),"""
+    for k in range(5):
+        sql += f"""
+a{k} as materialized (select r, p, any_value(x) as x, any_value(d) as d, min(far) as far, min(e) filter (far = least) as e from (
+    select *, min(far) over (partition by r, p) as least from (
+      select r, parts.p, x, d, e, list_sum(list_transform(range(1, d + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i])))::bigint as far
+      from parts join c{k} on parts.p = c{k}.p)) group by r, p),"""
+        if k < 4:
+            sql += f"""
+m{k} as (select p, e, list(mean order by i) as c from (
+    select p, e, i, floor(sum(x[i])::double / count(*))::bigint as mean from (select *, unnest(range(1, d + 1)) as i from a{k}) group by p, e, i) group by p, e),
+c{k + 1} as materialized (select c{k}.p, c{k}.e, coalesce(m{k}.c, c{k}.c) as c from c{k} left join m{k} on c{k}.p = m{k}.p and c{k}.e = m{k}.e),"""
+    return sql + """
+book as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from c4),
+coded as (select r, string_agg(lower(lpad(to_hex(e), 2, '0')), '' order by p) as code, sum(far)::bigint as error from a4 group by r)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256
+from kept join coded using (r), book"""
+
+
+@query("op12_codes", codes_sql())
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 @query("op13_nra", r"""
 with d as (select row_number() over () as r, doc_id, regexp_extract_all(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t from documents),
