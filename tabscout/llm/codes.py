@@ -36,7 +36,7 @@ def largest_component(size: int) -> int:
 
 
 def scaled_vectors(df: DataFrame) -> tuple[DataFrame, int]:
-    """(rows, length): vec_id, label and the integer components, as bytes, of the rows with a vector."""
+    """(rows, length): vec_id, label and the integer components of the rows with a vector."""
     vector = F.col("embedding")
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select("vec_id", "label", F.transform(vector, lambda x: x.cast("double")).alias("vector")).filter(sound & (F.size(vector) > 0))
@@ -50,11 +50,11 @@ def scaled_vectors(df: DataFrame) -> tuple[DataFrame, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column(2).flatten()).reshape(-1, length)
-            x = np.clip(np.floor(SCALE * x), -most, most).astype("<i8")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([v.tobytes() for v in x], pa.binary())], names=["vec_id", "label", "vector"])
+            x = np.clip(np.floor(SCALE * x), -most, most).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(list(x), pa.list_(pa.int64()))], names=["vec_id", "label", "vector"])
 
     kinds = dict(df.dtypes)
-    return written(rows.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, vector binary")), length
+    return written(rows.mapInArrow(run, f"vec_id {kinds['vec_id']}, label {kinds['label']}, vector array<long>")), length
 
 
 class Codebook:
@@ -111,14 +111,13 @@ def assigned(x: np.ndarray, books: list[Codebook]) -> tuple[np.ndarray, np.ndarr
 
 
 def vectors_of(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i8").reshape(len(column), -1)
+    return np.asarray(column.flatten()).reshape(len(column), -1)
 
 
 def first_codebooks(rows: DataFrame, length: int) -> np.ndarray:
     """[part, entry, position]: the parts of the vectors with the smallest vec_ids."""
     first = rows.orderBy(F.asc_nulls_last("vec_id"), "vector").limit(ENTRIES).select("vector").collect()
-    x = np.frombuffer(b"".join(bytes(r.vector) for r in first), dtype="<i8").reshape(-1, PARTS, length // PARTS)
-    return x.transpose(1, 0, 2).copy()
+    return np.array([r.vector for r in first], dtype=np.int64).reshape(-1, PARTS, length // PARTS).transpose(1, 0, 2).copy()
 
 
 def moved(rows: DataFrame, entries: np.ndarray) -> np.ndarray:

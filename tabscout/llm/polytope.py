@@ -53,8 +53,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def width_of(size: int) -> int:
-    """The power of two that vectors of so many components are filled up to."""
-    return 1 << max(1, (size - 1).bit_length())
+    """The power of two that vectors of so many components are filled up to; few dimensions have few rotations."""
+    return 1 << max(4, (size - 1).bit_length())
 
 
 def probe_codes(x: np.ndarray, table: int, vertices: int) -> np.ndarray:
