@@ -20,41 +20,13 @@ from tabscout.functions.scalars import as_time, coerce_numeric, column, quoted,
 from tabscout.operators.explain import require_regression
 from tabscout.operators.ordering import order_terms
 from tabscout.operators.series import DAY_MICROS, LAGS, TRAILING, date_gaps, date_pattern, median_gap, typical_step
-from tabscout.operators.training import Band, TrainedModel
-from tabscout.operators.trees import Forest, Tree, read_forest
+from tabscout.operators.training import TrainedModel
 
 # How much history a step needs, and how far a forecast may reach.
 HISTORY = TRAILING + max(LAGS)
 MAX_STEPS = 365
 
 
-def band_forest(spark, band: Band, slots: int) -> Forest:
-    """The quantile forest with (low, high) at its leaves.
-
-    MLlib numbers leaves left to right, the order a pre-order walk meets them.
-    """
-    forest = read_forest(spark, band.model, slots)
-    table = {(t, leaf): (low, high) for t, leaf, low, high in band.leaves}
-    trees = []
-    for i, tree in enumerate(forest.trees):
-        value = np.full((len(tree.feature), 2), np.nan)
-        for leaf, node in enumerate(_leaves_in_order(tree)):
-            value[node] = table.get((i, leaf), (np.nan, np.nan))
-        trees.append(Tree(tree.feature, tree.threshold, tree.left, tree.right, tree.cover, value, tree.categories))
-    return Forest(trees, forest.weights, slots)
-
-
-def _leaves_in_order(tree: Tree) -> list[int]:
-    found, stack = [], [0]
-    while stack:
-        node = stack.pop()
-        if tree.left[node] < 0:
-            found.append(node)
-        else:
-            stack += [int(tree.right[node]), int(tree.left[node])]
-    return found
-
-
 def _plan(model: TrainedModel, time: str) -> list[tuple[int, str, object]]:
     """Vector slots that change from step to step: (slot, rule, detail)."""
     target = model.spec.target
@@ -62,7 +34,7 @@ def _plan(model: TrainedModel, time: str) -> list[tuple[int, str, object]]:
     for i, s in enumerate(model.encoder.slots):
         f = model.spec.feature(s.feature)
         if f.derived_from == time:
-            plan.append((i, "part" if s.kind == "value" else "present", f.part))
+            plan.append((i, "part", f.part))
             continue
         source = None
         for k in LAGS:
@@ -75,7 +47,7 @@ def _plan(model: TrainedModel, time: str) -> list[tuple[int, str, object]]:
         if s.kind == "category":
             plan.append((i, "category", (source, [_as_float(c) for c in f.categories])))
         else:
-            plan.append((i, s.kind, (source, f.default)))
+            plan.append((i, "value", (source, None)))
     return plan
 
 
@@ -91,9 +63,7 @@ def _step_vector(x: np.ndarray, plan, history: np.ndarray, at: np.ndarray) -> np
     x = x.copy()
     when = at.astype("datetime64[us]")
     for slot, rule, detail in plan:
-        if rule == "present":
-            x[:, slot] = 0.0
-        elif rule == "part":
+        if rule == "part":
             if detail == "year":
                 x[:, slot] = when.astype("datetime64[Y]").astype(int) + 1970
             elif detail == "month":
@@ -109,13 +79,11 @@ def _step_vector(x: np.ndarray, plan, history: np.ndarray, at: np.ndarray) -> np
                 value = np.divide(total, known.sum(axis=1), out=np.full(len(x), np.nan), where=known.any(axis=1))
             else:
                 value = history[:, -source] if history.shape[1] >= source else np.full(len(x), np.nan)
-            if rule == "missing":
-                x[:, slot] = np.isnan(value)
-            elif rule == "category":
+            if rule == "category":
                 match = value[:, None] == np.array(extra)[None, :]
-                x[:, slot] = np.where(match.any(axis=1), match.argmax(axis=1), len(extra))
+                x[:, slot] = np.where(match.any(axis=1), match.argmax(axis=1), np.nan)
             else:
-                x[:, slot] = np.where(np.isnan(value), extra if extra is not None else 0.0, value)
+                x[:, slot] = value
     return x
 
 
@@ -160,8 +128,7 @@ def forecast(model: TrainedModel, df: DataFrame, time: str, steps: int, key: lis
     states = last_states(df, time, model.spec.target, key, groups)
     held = states.select(F.col("_row.*"), F.struct("_history", "_last", "_step", "_row").alias("_state"))
     vectors = model.vectors(held, [F.col("_state")])
-    bands = band_forest(spark, model.band, len(model.encoder.slots)) if model.band else None
-    shared = spark.sparkContext.broadcast((model.forest, bands, _plan(model, time), steps))
+    shared = spark.sparkContext.broadcast((model.forest, model.band, _plan(model, time), steps))
 
     @F.pandas_udf("predicted array<double>, low array<double>, high array<double>")
     def run(base: pd.Series, history: pd.Series, last: pd.Series, step: pd.Series) -> pd.DataFrame:
@@ -178,8 +145,7 @@ def forecast(model: TrainedModel, df: DataFrame, time: str, steps: int, key: lis
             ready = _step_vector(x, plan, values, start + gap * (k + 1))
             points[:, k] = np.round(forest.predict(ready)[:, 0], 4)
             if band is not None:
-                edges = np.nanmean(np.stack([t.predict(ready) for t in band.trees]), axis=0)
-                edges = np.sort(np.round(edges, 4), axis=1)
+                edges = np.sort(np.round(band.predict(ready), 4), axis=1)
                 lows[:, k], highs[:, k] = edges[:, 0], edges[:, 1]
             values = np.concatenate([values[:, 1:], points[:, k : k + 1]], axis=1)
         return pd.DataFrame({"predicted": list(points), "low": list(lows), "high": list(highs)})

@@ -1,7 +1,6 @@
 """Fitted tree ensembles as small arrays, and what can be read from them.
 
-A model is written once, its node table is read back and shipped to the executors as a
-broadcast of a few kilobytes. Predictions, SHAP values and monotone scores are then
+Trees are shipped to the executors as a broadcast of a few kilobytes each. Predictions and SHAP values are then
 Arrow-batched array arithmetic on rows where they already lie: nothing is shuffled.
 """
 
@@ -16,12 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabscout.errors import TabularError
+
 ALL_PATTERNS = 8  # path features up to which every combination is tabulated at once
 
 
 @dataclass
 class Tree:
-    """One tree as parallel arrays indexed by node id."""
+    """One tree as parallel arrays indexed by node id. A missing value is NaN."""
 
     feature: np.ndarray
     threshold: np.ndarray
@@ -30,49 +31,35 @@ class Tree:
     cover: np.ndarray
     value: np.ndarray  # nodes × outputs
     categories: dict[int, np.ndarray] = field(default_factory=dict)  # node -> categories going left
+    missing_left: np.ndarray | None = None  # per node, none: right
+    gain: np.ndarray | None = None
 
     def goes_left(self, node: int, x: np.ndarray) -> np.ndarray:
         values = x[:, self.feature[node]]
-        if node in self.categories:
-            return np.isin(values, self.categories[node])
-        return values <= self.threshold[node]
-
-    def rising(self, rules: dict[int, int]) -> Tree:
-        """Where a split tests a ruled slot, a value between its two sides becomes the bound of both: the lower side may
-        not exceed it nor the upper side fall below it. Bounds go down to the leaves, whose values are clipped."""
-        value = self.value.copy()
-        if not any(int(f) in rules for f in self.feature):
-            return self
-        waiting = [(0, np.full(value.shape[1], -np.inf), np.full(value.shape[1], np.inf))]
-        while waiting:
-            node, low, high = waiting.pop()
-            value[node] = np.clip(self.value[node], low, high)
-            if self.left[node] < 0:
-                continue
-            left, right = int(self.left[node]), int(self.right[node])
-            direction = rules.get(int(self.feature[node]), 0) if node not in self.categories else 0
-            if not direction:
-                waiting += [(left, low, high), (right, low, high)]
-                continue
-            lower, upper = (left, right) if direction > 0 else (right, left)
-            parts, cover = self.value[[left, right]], self.cover[[left, right]]
-            # Sides in the wrong order meet at their mean, weighted by rows; others part in the middle.
-            wrong = self.value[lower] > self.value[upper]
-            middle = np.clip(np.where(wrong, np.average(parts, axis=0, weights=np.maximum(cover, 1e-9)), parts.mean(axis=0)), low, high)
-            waiting += [(lower, low, middle), (upper, middle, high)]
-        # Clipping must not lift or lower the tree as a whole.
-        ends = self.left < 0
-        value += np.average(self.value[ends] - value[ends], axis=0, weights=np.maximum(self.cover[ends], 1e-9))
-        return Tree(self.feature, self.threshold, self.left, self.right, self.cover, value, self.categories)
+        left = np.isin(values, self.categories[node]) if node in self.categories else values <= self.threshold[node]
+        if self.missing_left is not None and self.missing_left[node]:
+            left = left | np.isnan(values)
+        return left
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), dtype=np.int64)
-        active = np.flatnonzero(self.left[at] >= 0)
-        while active.size:
-            for node in np.unique(at[active]):
-                rows = active[at[active] == node]
-                at[rows] = np.where(self.goes_left(node, x[rows]), self.left[node], self.right[node])
-            active = active[self.left[at[active]] >= 0]
+        slot, rows, at = np.maximum(self.feature, 0), np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
+        missing_left = np.zeros(len(slot), dtype=bool) if self.missing_left is None else self.missing_left
+        sets = None
+        if self.categories:
+            # Per node a table of categories; the last column holds whatever no set names.
+            sets = np.zeros((len(slot), int(max(c.max(initial=0) for c in self.categories.values())) + 2), dtype=bool)
+            for node, inside in self.categories.items():
+                sets[node, inside.astype(int)] = True
+            by_set = np.isin(np.arange(len(slot)), list(self.categories))
+        while (inner := self.left[at] >= 0).any():
+            values = x[rows, slot[at]]
+            missing = np.isnan(values)
+            left = values <= self.threshold[at]
+            if sets is not None:
+                place = np.where(missing | (values < 0) | (values >= sets.shape[1]), sets.shape[1] - 1, values).astype(np.int64)
+                left = np.where(by_set[at], sets[at, place], left)
+            left = np.where(missing, missing_left[at], left)
+            at = np.where(inner, np.where(left, self.left[at], self.right[at]), at)
         return self.value[at]
 
 
@@ -109,29 +96,26 @@ class _Leaf:
 
 
 class Forest:
-    """A weighted sum of trees."""
+    """A base output plus a weighted sum of trees."""
 
-    def __init__(self, trees: list[Tree], weights: list[float], slots: int):
+    def __init__(self, trees: list[Tree], weights: list[float], slots: int, base: np.ndarray | None = None):
         self.trees, self.weights, self.slots = trees, weights, slots
+        self.base = base if base is not None else np.zeros(trees[0].value.shape[1])
         self._leaves: list[list[_Leaf]] | None = None
 
     def __getstate__(self):
-        return {"trees": self.trees, "weights": self.weights, "slots": self.slots, "_leaves": None}
+        return {"trees": self.trees, "weights": self.weights, "slots": self.slots, "base": self.base, "_leaves": None}
 
     @property
     def outputs(self) -> int:
-        return self.trees[0].value.shape[1]
+        return len(self.base)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        total = np.zeros((len(x), self.outputs))
+        total = np.repeat(self.base[None, :].astype(float), len(x), axis=0)
         for tree, w in zip(self.trees, self.weights):
             total += w * tree.predict(x)
         return total
 
-    def rising(self, rules: dict[int, int]) -> Forest:
-        """The forest with every tree made monotone in the given slots (1 rises, -1 falls); sums of such trees are too."""
-        return Forest([t.rising(rules) for t in self.trees], self.weights, self.slots) if rules else self
-
     def leaves(self) -> list[list[_Leaf]]:
         if self._leaves is None:
             self._leaves = [_leaf_paths(t) for t in self.trees]
@@ -139,35 +123,56 @@ class Forest:
 
     def bias(self) -> np.ndarray:
         """The expected output before any feature is known."""
-        return sum(
-            w * sum(leaf.value * float(np.prod(leaf.shares)) for leaf in leaves)
-            for leaves, w in zip(self.leaves(), self.weights)
+        return self.base + sum(
+            (w * sum(leaf.value * float(np.prod(leaf.shares)) for leaf in leaves) for leaves, w in zip(self.leaves(), self.weights)),
+            np.zeros(self.outputs),
         )
 
+    def gains(self) -> np.ndarray:
+        """Mean gain of the splits on each slot."""
+        total, splits = np.zeros(self.slots), np.zeros(self.slots)
+        for tree in self.trees:
+            inner = tree.left >= 0
+            np.add.at(total, tree.feature[inner], tree.gain[inner])
+            np.add.at(splits, tree.feature[inner], 1)
+        return np.divide(total, splits, out=total, where=splits > 0)
+
     def shap(self, x: np.ndarray, output: np.ndarray | int) -> np.ndarray:
         """Contribution of each vector slot; ``output`` picks one output, or one per row."""
-        rows = len(x)
-        pick = np.broadcast_to(np.asarray(output), (rows,))
-        phi = np.zeros((rows, self.slots))
-        for tree, leaves, w in zip(self.trees, self.leaves(), self.weights):
-            left = {n: tree.goes_left(n, x) for n in range(len(tree.feature)) if tree.left[n] >= 0}
-            for leaf in leaves:
-                if not leaf.features:
-                    continue
-                code = np.zeros(rows, dtype=np.int64)
-                for j, tests in enumerate(leaf.tests):
-                    ok = np.ones(rows, dtype=bool)
-                    for node, to_left in tests:
-                        ok &= left[node] if to_left else ~left[node]
-                    code |= ok.astype(np.int64) << j
-                if leaf.table is not None:
-                    part = leaf.table[code]
-                else:
-                    seen, back = np.unique(code, return_inverse=True)
-                    bits = (seen[:, None] >> np.arange(len(leaf.features))) & 1
-                    part = shapley_table(bits.astype(float), leaf.shares)[back]
-                phi[:, leaf.features] += part * (w * leaf.value[pick])[:, None]
-        return phi
+        pick = np.broadcast_to(np.asarray(output), (len(x),))
+        phi = np.zeros((self.slots, len(x)))
+        for wanted in np.unique(pick):
+            rows = np.flatnonzero(pick == wanted)
+            own, sums = x[rows], np.zeros((self.slots, len(rows)))
+            for tree, leaves, w in zip(self.trees, self.leaves(), self.weights):
+                if tree.value[:, wanted].any():
+                    self._add_tree(sums, tree, leaves, w, own, wanted)
+            phi[:, rows] = sums
+        return phi.T
+
+    @staticmethod
+    def _add_tree(sums: np.ndarray, tree: Tree, leaves: list[_Leaf], w: float, x: np.ndarray, output: int) -> None:
+        left = {n: tree.goes_left(n, x) for n in range(len(tree.feature)) if tree.left[n] >= 0}
+        right = {n: ~v for n, v in left.items()}
+        for leaf in leaves:
+            factor = w * leaf.value[output]
+            if not leaf.features or not factor:
+                continue
+            code = np.zeros(len(x), dtype=np.uint8 if leaf.table is not None else np.int64)
+            for j, tests in enumerate(leaf.tests):
+                node, to_left = tests[0]
+                ok = left[node] if to_left else right[node]
+                for node, to_left in tests[1:]:
+                    ok = ok & (left[node] if to_left else right[node])
+                code |= ok.astype(code.dtype) << code.dtype.type(j)
+            if leaf.table is not None:
+                table = leaf.table * factor
+            else:
+                seen, code = np.unique(code, return_inverse=True)
+                bits = (seen[:, None] >> np.arange(len(leaf.features))) & 1
+                table = shapley_table(bits.astype(float), leaf.shares) * factor
+            for j, slot in enumerate(leaf.features):
+                sums[slot] += table[code, j]
 
 
 def _leaf_paths(tree: Tree) -> list[_Leaf]:
@@ -195,9 +200,14 @@ def _leaf_paths(tree: Tree) -> list[_Leaf]:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh folder all executors can see: under the session's checkpoint folder, else under its warehouse."""
+    """A fresh folder that the driver and all executors share: under the session's checkpoint folder; a session on one machine
+    may use its warehouse instead."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise TabularError("NO_SHARED_FOLDER", "Set spark.checkpoint.dir to a folder that the driver and all executors share.")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
 
 
@@ -229,47 +239,34 @@ def node_table(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_forest(spark: SparkSession, model, slots: int) -> Forest:
-    """The ensemble of a fitted MLlib tree model.
+FOREST_SCHEMA = ("tree int, node int, slot int, threshold double, categories array<double>, missing_left boolean, left int, right int, "
+                 "cover double, gain double, value array<double>")
 
-    Boosted models give the margin (MLlib codes classes ±1, so log-odds are twice it);
-    forests of classes give averaged class shares.
-    """
-    kind = type(model).__name__
+
+def forest_table(spark: SparkSession, forest: Forest) -> DataFrame:
+    """One row per node. A threshold beyond all numbers, which parts missing values from known ones, is infinite."""
+    rows = [
+        (i, n, int(t.feature[n]), float(t.threshold[n]), t.categories[n].tolist() if n in t.categories else None,
+         bool(t.missing_left[n]) if t.missing_left is not None else False, int(t.left[n]), int(t.right[n]), float(t.cover[n]),
+         float(t.gain[n]) if t.gain is not None else 0.0, [float(v) * w for v in t.value[n]])
+        for i, (t, w) in enumerate(zip(forest.trees, forest.weights)) for n in range(len(t.feature))
+    ]
+    return spark.createDataFrame(rows, FOREST_SCHEMA)
+
+
+def forest_of(nodes: DataFrame, slots: int, base: list[float]) -> Forest:
+    """The forest of a node table, bounded by its trees × 2^depth."""
     grouped: dict[int, list] = {}
-    for row in saved_nodes(spark, model):
-        grouped.setdefault(row["tree"], []).append(row)
-    shares = kind in ("RandomForestClassificationModel", "DecisionTreeClassificationModel")
-    trees = [_tree(grouped[i], shares) for i in sorted(grouped)]
-    if kind.startswith("GBT"):
-        scale = 2.0 if kind == "GBTClassificationModel" else 1.0
-        weights = [scale * w for w in model.treeWeights]
-    else:
-        weights = [1.0 / len(trees)] * len(trees)
-    return Forest(trees, weights, slots)
-
-
-def _tree(rows: list, class_shares: bool) -> Tree:
-    rows = sorted(rows, key=lambda r: r["node"])
-    size = len(rows)
-    feature, threshold = np.full(size, -1), np.zeros(size)
-    left, right = np.full(size, -1), np.full(size, -1)
-    cover = np.array([r["rows"] for r in rows], dtype=float)
-    categories = {}
-    for i, r in enumerate(rows):
-        if r["left"] < 0:
-            continue
-        feature[i], left[i], right[i] = r["slot"], r["left"], r["right"]
-        if r["categories"] >= 0:
-            categories[i] = np.array(r["test"])
-        else:
-            threshold[i] = r["test"][0]
-    if class_shares:
-        stats = np.array([r["impurityStats"] for r in rows], dtype=float)
-        value = stats / stats.sum(axis=1, keepdims=True)
-    else:
-        value = np.array([[r["prediction"]] for r in rows], dtype=float)
-    return Tree(feature, threshold, left, right, cover, value, categories)
+    for r in nodes.collect():
+        grouped.setdefault(r["tree"], []).append(r)
+    trees = []
+    for i in sorted(grouped):
+        rows = sorted(grouped[i], key=lambda r: r["node"])
+        whole = lambda name, kind: np.array([r[name] for r in rows], dtype=kind)
+        sets = {r["node"]: np.array(r["categories"], dtype=float) for r in rows if r["categories"] is not None}
+        trees.append(Tree(whole("slot", int), whole("threshold", float), whole("left", int), whole("right", int), whole("cover", float),
+                          whole("value", float), sets, whole("missing_left", bool), whole("gain", float)))
+    return Forest(trees, [1.0] * len(trees), slots, np.array(base, dtype=float))
 
 
 # ---------------------------------------------------------------- on executors
@@ -304,11 +301,11 @@ def shap_column(spark: SparkSession, forest: Forest, groups: list[int], features
 
 
 def margin_column(spark: SparkSession, forest: Forest, features: Column) -> Column:
-    """The ensemble's first output."""
+    """array<double>: the ensemble's outputs."""
     shared = spark.sparkContext.broadcast(forest)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf("array<double>")
     def score(vectors: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.predict(_matrix(vectors))[:, 0] if len(vectors) else [], dtype=float)
+        return pd.Series(list(shared.value.predict(_matrix(vectors))) if len(vectors) else [], dtype=object)
 
     return score(features)

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabscout.functions.scalars import hash_key
+from tabscout.operators import boosting as B
 from tabscout.operators import evaluate as E
 from tabscout.operators import explain as X
 from tabscout.operators import forecast as FC
@@ -26,7 +28,8 @@ from tabscout.operators.profile import column_facts, column_profiles
 from tabscout.plans import fixtures as fx
 from tabscout.plans.registry import query, table
 
-QUICK = T.Params(n_estimators=5, max_depth=4, max_bins=32)
+# The shared models learn in larger steps than the default, up to its 500 rounds and with its patience; train_full is the default itself.
+FAST = T.Params(learning_rate=0.3, max_depth=4)
 KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 _trained: dict[tuple, T.TrainingResult] = {}
 
@@ -51,7 +54,7 @@ def _daily(spark, d) -> DataFrame:
 def trained(spark: SparkSession, d: str, kind: str) -> T.TrainingResult:
     key = (spark.sparkContext.applicationId, d, kind)
     if key not in _trained:
-        quick = dict(params=QUICK, cross_validation=False, with_linear=False)
+        quick = dict(params=FAST, cross_validation=False, with_linear=False)
         if kind == "number":
             made = T.train(_number_rows(spark, d), "y", list(fx.LINE_KEY), exclude=KEYS, **quick)
         elif kind == "bands":
@@ -106,6 +109,19 @@ def train_over_time(spark, d):
     return spark.createDataFrame([(r.metrics["test_rows"], ",".join(made))], "test_rows bigint, history string")
 
 
+@query("train_full", f"""select {HELD.format('lineitem', '1::int').replace('group by 1::int', '')}::bigint as test_rows, true as kept_least_loss,
+  true as patient, 5 as folds, true as learns, true as folds_agree, true as banded, true as has_linear""")
+def train_full(spark, d):
+    """A run with all defaults: up to 500 rounds of depth 6 with patience, five folds, linear baseline and band."""
+    r = T.train(_number_rows(spark, d), "y", list(fx.LINE_KEY), exclude=KEYS)
+    m = r.metrics
+    inside = r.scored.agg(F.avg(F.col("y").between(F.col("low"), F.col("high")).cast("double"))).first()[0]
+    row = (m["test_rows"], r.losses[r.rounds - 1] == min(r.losses), len(r.losses) in (r.rounds + B.PATIENCE, r.params.n_estimators), m["cv_folds"],
+           m["r2"] > 0.7, abs(m["cv_mean"] - m["r2"]) < 0.05, 0.75 < inside < 0.9, "linear_r2" in m)
+    return spark.createDataFrame([row], "test_rows bigint, kept_least_loss boolean, patient boolean, folds int, learns boolean, folds_agree boolean, "
+                                        "banded boolean, has_linear boolean")
+
+
 @query("training_metrics")
 def training_metrics(spark, d):
     return trained(spark, d, "class").metrics_table(spark)
@@ -116,20 +132,16 @@ def training_warnings(spark, d):
     return trained(spark, d, "time").warnings_table(spark)
 
 
-@query("feature_vector", f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity is null as gap,
-  coalesce(l_quantity, (select median(l_quantity) from {fx.PLANTED_LINEITEM})) as quantity, l_discount as discount from {fx.PLANTED_LINEITEM}""")
+@query("feature_vector", f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity is null as gap, l_quantity as quantity,
+  l_discount as discount from {fx.PLANTED_LINEITEM}""")
 def feature_vector(spark, d):
-    from pyspark.ml.functions import vector_to_array
-
     df = _number_rows(spark, d)
-    profiles = column_facts(df)
-    spec = build_feature_spec(df, "y", profiles=profiles, user_excluded=KEYS)
-    encoder = T.build_encoder(spec, profiles)
+    spec = build_feature_spec(df, "y", profiles=column_facts(df), user_excluded=KEYS)
+    encoder = T.Encoder(spec)
     out = encoder.encode(apply_feature_spec(df, spec, [F.col(k) for k in fx.LINE_KEY]))
     x = vector_to_array("features")
-    slot = {(s.feature, s.kind): i for i, s in enumerate(encoder.slots)}
-    return out.select(*fx.LINE_KEY, (x[slot["l_quantity", "missing"]] == 1).alias("gap"),
-                      x[slot["l_quantity", "value"]].alias("quantity"), x[slot["l_discount", "value"]].alias("discount"))
+    quantity, discount = x[encoder.slot_of("l_quantity")], x[encoder.slot_of("l_discount")]
+    return out.select(*fx.LINE_KEY, F.isnan(quantity).alias("gap"), F.when(~F.isnan(quantity), quantity).alias("quantity"), discount.alias("discount"))
 
 
 def _encoded(spark, d, kind: str):
@@ -137,29 +149,51 @@ def _encoded(spark, d, kind: str):
     df = rows(spark, d)
     r = trained(spark, d, kind)
     flagged = SP.training_flags(df, key, target if kind == "class" else None, df.count())
-    keep = [T.label_alias(r.model.spec, T.label_column(r.model.spec, flagged)), F.col("_test"), F.col("_watch"), F.col("_fold")]
+    keep = [T.label_alias(r.model.spec, T.label_column(r.model.spec, flagged)), hash_key(*key).alias("_key"), F.col("_test"), F.col("_watch"), F.col("_fold")]
     return r, r.model.encoder.encode(apply_feature_spec(flagged, r.model.spec, keep)).repartition(
-        spark.sparkContext.defaultParallelism).persist()
+        spark.sparkContext.defaultParallelism, "_key").persist()
+
+
+def _ground(spark, d, kind: str, max_bins: int = 64):
+    """The rows of a run, packed, with their roles."""
+    r, encoded = _encoded(spark, d, kind)
+    learn, watch = ~F.col("_test"), F.col("_watch")
+    roles = {"learn": learn, "fit": learn & ~watch, "watch": watch}
+    roles |= {f"{side}{i}": (F.col("_fold") != i if side == "in" else F.col("_fold") == i) for i in range(5) for side in ("in", "out")}
+    return r, encoded, T.pack_rows(encoded, r.model.spec, r.model.encoder, roles, max_bins, key=F.col("_key"))
 
 
-@query("fit_with_early_stopping")
+WATCHED = """(select sum(floor(((n - t) * 100 + 999) / 1000)) from (select n, floor((n * 200 + 999) / 1000) as t from
+  (select count(*) as n from {} group by {})))"""
+
+
+@query("fit_with_early_stopping", f"""select {WATCHED.format(fx.PLANTED_ORDERS, 'won')}::bigint as watched_rows, true as kept_least_loss,
+  true as patient, true as learns""")
 def fit_with_early_stopping(spark, d):
-    r, encoded = _encoded(spark, d, "class")
-    model = T.fit_model(encoded.filter("not _test"), r.model.spec, r.model.encoder, QUICK, encoded.count(), False, "_watch")
-    out = spark.createDataFrame([(model.getNumTrees, T.quality(T.TrainedModel(r.model.spec, r.model.encoder, model), encoded.filter("_test"), r.model.spec))], "trees int, accuracy double")
+    """One model whose loss on the watched rows ends it."""
+    r, encoded, ground = _ground(spark, d, "class")
+    fit = T.fit_model(ground, FAST, "fit", "watch")
+    scored = T.quality(T.TrainedModel(r.model.spec, r.model.encoder, ground.forest(fit)), encoded.filter("_test"), r.model.spec)
+    least = min(fit.losses)
+    watched = encoded.filter("_watch").count()
+    row = (watched, fit.losses[len(fit.rounds) - 1] == least, len(fit.losses) in (len(fit.rounds) + B.PATIENCE, FAST.n_estimators), scored > 0.9)
+    ground.close()
     encoded.unpersist()
-    return out
+    return spark.createDataFrame([row], "watched_rows bigint, kept_least_loss boolean, patient boolean, learns boolean")
 
 
-@query("tune")
+@query("tune", f"""select {WATCHED.format(fx.PLANTED_ORDERS, 'won')}::bigint as watched_rows, rank::int as rank, true as in_range, true as not_better,
+  true as finite from range(12) t(rank)""")
 def tune(spark, d):
-    r, encoded = _encoded(spark, d, "class")
-    found = T.tune(encoded.filter("not _test"), r.model.spec, r.model.encoder, T.Params(n_estimators=3, max_bins=32),
-                   {"max_depth": 3}, False, "_watch", trials=3)
+    """Twelve trials over all knobs, best first, with 50 rounds at most."""
+    r, encoded, ground = _ground(spark, d, "class")
+    found = T.tune(ground, T.Params(n_estimators=50), {}, "fit", "watch")
+    watched = encoded.filter("_watch").count()
+    ground.close()
     encoded.unpersist()
-    return spark.createDataFrame([(i, p.max_depth, p.learning_rate, p.subsample, p.colsample, p.min_child, loss)
-                                  for i, (p, loss) in enumerate(found)],
-                                 "rank int, max_depth int, learning_rate double, subsample double, colsample double, min_child int, loss double")
+    ranges = lambda p: 3 <= p.max_depth <= 8 and 0.01 <= p.learning_rate <= 0.2 and 0.6 <= min(p.subsample, p.colsample)
+    rows = [(watched, i, ranges(p) and p.min_child in (1, 2, 4, 8), loss >= found[max(i - 1, 0)][1], 0 < loss < 1) for i, (p, loss) in enumerate(found)]
+    return spark.createDataFrame(rows, "watched_rows bigint, rank int, in_range boolean, not_better boolean, finite boolean")
 
 
 @query("linear_baseline", "select true as good_linear_fit")
@@ -178,14 +212,16 @@ def linear_baseline_class(spark, d):
     return spark.createDataFrame([(m["linear_accuracy"] > 0.85,)], "good_linear_fit boolean")
 
 
-@query("cross_validate", "select 5 as folds, true as steady")
+@query("cross_validate", "select 5 as folds, count(*)::bigint as tested, true as steady from lineitem")
 def cross_validate(spark, d):
-    r, encoded = _encoded(spark, d, "number")
-    folds = [(F.col("_fold") != i, F.col("_fold") == i) for i in range(5)]
-    m = T.cross_validate(encoded, r.model.spec, r.model.encoder, T.Params(n_estimators=3, max_depth=4, max_bins=32), folds)
+    """Five models that grow in the same passes, each tested on its own fold."""
+    r, encoded, ground = _ground(spark, d, "number")
+    m = T.cross_validate(ground, T.Params(learning_rate=0.3, max_depth=4, n_estimators=50), [(f"in{i}", f"out{i}") for i in range(5)])
+    tested = encoded.filter(F.col("_fold").between(0, 4)).count()
+    ground.close()
     encoded.unpersist()
     low, high = E.consistency_range(F.lit(m["cv_mean"]), F.lit(m["cv_std"]))
-    return spark.range(1).select(F.lit(m["cv_folds"]).alias("folds"), ((low > 0.6) & (high - low < 0.1)).alias("steady"))
+    return spark.range(1).select(F.lit(m["cv_folds"]).alias("folds"), F.lit(tested).alias("tested"), ((low > 0.6) & (high - low < 0.1)).alias("steady"))
 
 
 @query("rank_importance", "select 'l_quantity' as top, true as sums_to_one")
@@ -284,8 +320,8 @@ def shap_additive_class(spark, d):
 @query("shap_additive_bands", "select count(*) as rows, true as additive from lineitem")
 def shap_additive_bands(spark, d):
     model = trained(spark, d, "bands").model
-    out = X.shap_values(model, model.score(_band_rows(spark, d)))
-    return _count(out, additive=_gap(F.element_at("probability", F.col("explained_class") + 1)))
+    out = X.shap_values(model, model.margins(_band_rows(spark, d)))
+    return _count(out, additive=_gap(F.element_at("margins", F.col("explained_class") + 1)))
 
 
 @query("explain")
@@ -350,11 +386,14 @@ def surrogate_nodes(spark, d):
     return X.surrogate_tree(trained(spark, d, "bands").model, _band_rows(spark, d)).nodes
 
 
-@query("tree_nodes")
+@query("tree_nodes", "select true as adds_up, true as sides_differ, true as gains")
 def tree_nodes(spark, d):
-    path = TR.scratch_path(spark, "nodes")
-    trained(spark, d, "class").model.model.write().save(path)
-    return TR.node_table(spark, path).drop("impurityStats")
+    """The covers of two sides add up to their node's, and every split gains."""
+    nodes = TR.forest_table(spark, trained(spark, d, "class").model.forest)
+    sides = [nodes.select("tree", F.col("node").alias(s), F.col("cover").alias(f"c_{s}")) for s in ("left", "right")]
+    both = nodes.filter("left >= 0").join(sides[0], ["tree", "left"]).join(sides[1], ["tree", "right"])
+    return both.agg(F.bool_and(F.abs(F.col("c_left") + F.col("c_right") - F.col("cover")) < 1e-6 * F.col("cover")).alias("adds_up"),
+                    F.bool_and(F.col("left") != F.col("right")).alias("sides_differ"), F.bool_and(F.col("gain") > 0).alias("gains"))
 
 
 # ------------------------------------------------------------------ forecast
@@ -372,7 +411,7 @@ def forecast_per_series(spark, d):
     df = table(spark, d, "events").select("event_id", "ts", "user_id", "value")
     key = (spark.sparkContext.applicationId, d, "series")
     if key not in _trained:
-        _trained[key] = T.train(df, "value", ["event_id"], time="ts", series="user_id", exclude=("event_id",), params=QUICK,
+        _trained[key] = T.train(df, "value", ["event_id"], time="ts", series="user_id", exclude=("event_id",), params=FAST,
                                 cross_validation=False, with_linear=False)
     out = FC.forecast(_trained[key].model, df, "ts", 7, ["event_id"], series="user_id")
     counts = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("events"))
@@ -580,7 +619,7 @@ def record_and_list_runs(spark, d):
 
 @query("compare_variants", "select 'Simple' as label, 'complete' as status union all select 'Standard', 'complete' union all select 'Thorough', 'complete'")
 def compare_variants(spark, d):
-    out = R.compare_variants(_class_rows(spark, d), "orders", "won", ["o_orderkey"], T.Params(n_estimators=2, max_depth=3, max_bins=32), trials=2,
+    out = R.compare_variants(_class_rows(spark, d), "orders", "won", ["o_orderkey"], T.Params(learning_rate=0.3, max_depth=4, n_estimators=50),
                              exclude=("o_orderkey",), cross_validation=False, with_linear=False)
     return out.select("label", "status")
 
@@ -611,7 +650,7 @@ def fine_tune(spark, d):
     run = dict(zip([c.split()[0] for c in R.RUN_SCHEMA.split(", ")], R.run_row(
         "orders", "won", "classification", "complete", excluded=("o_orderkey",), overrides=T.Overrides(max_depth=3))))
     result = R.fine_tune_from(_class_rows(spark, d), run, T.Overrides(learning_rate=0.3), ["o_orderkey"],
-                              params=T.Params(n_estimators=2, max_bins=32), cross_validation=False, with_linear=False)
+                              params=FAST, cross_validation=False, with_linear=False)
     return spark.createDataFrame([(result.params.max_depth == 3 and result.params.learning_rate == 0.3, result.model.spec.target == "won")],
                                  "inherits boolean, keeps_target boolean")
 
@@ -619,7 +658,7 @@ def fine_tune(spark, d):
 @query("retrain_without", "select true as left_out, true as weaker")
 def retrain_without(spark, d):
     base = trained(spark, d, "class")
-    result = R.retrain_without(_class_rows(spark, d), "won", ["o_orderkey"], ["o_orderkey"], "o_totalprice", [], params=QUICK,
+    result = R.retrain_without(_class_rows(spark, d), "won", ["o_orderkey"], ["o_orderkey"], "o_totalprice", [], params=FAST,
                                cross_validation=False, with_linear=False)
     return spark.createDataFrame([("o_totalprice" not in result.model.spec.names, result.metrics["accuracy"] < base.metrics["accuracy"])],
                                  "left_out boolean, weaker boolean")
