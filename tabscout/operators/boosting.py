@@ -142,7 +142,7 @@ class Plan:
         return -np.log(np.maximum(p, 1e-15))
 
     def mean_loss(self, total: float, rows: float) -> float:
-        return math.sqrt(total / rows) if self.objective == "squared" else total / rows
+        return math.sqrt(total / rows) if self.objective == "squared" else float(total / rows)
 
 
 @dataclass
