@@ -38,21 +38,30 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underlines after it until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents_text(docs: DataFrame) -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str, count: str) -> DataFrame:
+def join_by_key(left: DataFrame, right: DataFrame, key: str, count: str, small: Column | None = None) -> DataFrame:
     """left join right on a nullable key, keeping every left row. right: one row per key with its number of left
-    rows in `count`. Keys with a thousandth of all rows or more (so at most a thousand) are broadcast; rows of the
-    other keys are shuffled, and none of those keys can hold a large share of a task."""
+    rows in `count`. Keys with a thousandth of all rows or more (so at most a thousand) are broadcast, if `small` says that
+    their row is; rows of the other keys are shuffled, where adaptive execution splits a large key."""
     total = right.agg(F.sum(count)).first()[0] or 0
     least = max(2.0, total / HOT_SHARE)
     right = right.withColumnRenamed(key, "_k")
-    hot = F.broadcast(right.filter(F.col(count) >= least))
+    is_hot = (F.col(count) >= least) & (F.lit(True) if small is None else small)
+    hot = F.broadcast(right.filter(is_hot))
     same = left[key].eqNullSafe(F.col("_k"))
     first = left.join(hot, same, "inner").drop("_k")
-    rest = left.join(hot.select("_k"), same, "left_anti").join(right.filter(F.col(count) < least), same, "left").drop("_k")
+    rest = left.join(hot.select("_k"), same, "left_anti").join(right.filter(~is_hot), same, "left").drop("_k")
     return first.unionByName(rest)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tabscout.llm.common import BLANKS, documents_text, join_by_key, written
+from tabscout.llm.common import BLANKS, documents_text, free_name, join_by_key, written
 
 SYMBOLS = "#*$%&|<>"
 SHARES = ("word_length", "symbols", "capitals", "marks", "lines", "repeats")
@@ -123,7 +123,13 @@ def quality_report(docs: DataFrame) -> DataFrame:
     return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def rows_with_key(docs: DataFrame, kept: DataFrame, once: bool = True) -> DataFrame:
+    """The rows of docs whose key is in kept (key), whatever their columns are called; of equal keys one row if ``once``."""
+    own, other = free_name(docs, "_row"), free_name(docs, "_kept")
+    rows = docs.withColumn(own, row_key(docs)).join(kept.select(F.col("key").alias(other)), F.col(own) == F.col(other), "left_semi")
+    return (rows.dropDuplicates([own]) if once else rows).drop(own)
+
+
 def quality_filter(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, all columns."""
-    verdicts = judged(docs).filter("kept").select(F.col("_row").alias("_kept")).distinct()
-    return docs.withColumn("_row", row_key(docs)).join(verdicts, F.col("_row") == F.col("_kept"), "left_semi").drop("_row")
+    return rows_with_key(docs, judged(docs).filter("kept").select(F.col("_row").alias("key")).distinct(), once=False)

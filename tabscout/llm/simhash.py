@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tabscout.llm.common import documents_text, in_batches, join_by_key, values, written
 from tabscout.llm.graph import components
-from tabscout.llm.rules import row_key
+from tabscout.llm.rules import row_key, rows_with_key
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 BANDS, SAMPLE, SHARD, BLOCK = 3, 32_768, 1000, 20_000
@@ -206,6 +206,5 @@ def near_groups(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row of each component, the one with the smallest doc_id, all columns; of repeated rows one stays."""
     prints = written(fingerprints(docs, [row_key(docs).alias("_row")]))
-    kept = grouped(prints, distance).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_kept"))
-    rows = docs.withColumn("_row", row_key(docs)).join(kept.select("_kept"), F.col("_row") == F.col("_kept"), "left_semi")
-    return rows.dropDuplicates(["_row"]).drop("_row")
+    kept = grouped(prints, distance).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("key"))
+    return rows_with_key(docs, kept)

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from tabscout.llm import nearcopies
+from tabscout.llm import nearcopies, rules, simhash
 
 
 def shingles(text):
@@ -52,8 +53,10 @@ def planted(seed=4):
     return rows + [(10_000, "a b"), (10_001, "A  b"), (10_002, ""), (10_003, None), (10_004, "a c")]
 
 
-def test_near_copies_are_those_of_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(nearcopies, "BLOCK", 8)
+@pytest.mark.parametrize("block, columns", [(512, 4096), (3, 50)])
+def test_near_copies_are_those_of_all_pairs(spark, monkeypatch, block, columns):
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    monkeypatch.setattr(nearcopies, "COLUMNS", columns)
     rows = planted()
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars")
     stage = dict(corpus_pipeline.STAGES)["near duplicates"]
@@ -77,3 +80,53 @@ def test_sketch_keeps_similar_sets():
             b = np.concatenate([a[: n - n // 9], rng.integers(0, 2**63, n // 9).astype(np.uint64)])
             (keys, sketch), (other, near) = nearcopies.signature(a), nearcopies.signature(b)
             assert (keys == other).any() and np.bitwise_count(sketch ^ near).sum() <= nearcopies.SKETCH
+
+
+def test_group_around_one_text(spark):
+    """Copies that are alike to their original and hardly to each other, with some that only another copy links."""
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(0, " ".join(words))]
+    for k in range(1, 150):
+        changed = list(words)
+        for at in rng.sample(range(300), 6 if k % 3 else 9):
+            changed[at] = f"new{rng.randrange(10**6)}"
+        rows.append((k, " ".join(changed)))
+    far = rows[5][1].split()
+    for at in range(0, 60, 12):
+        far[at] = f"far{at}"
+    rows.append((500, " ".join(far)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    found = nearcopies.points(docs)
+    links = nearcopies.similar_links(docs, nearcopies.written(found)).collect()
+    assert len(links) < 30 * len(rows)
+    assert sorted(r.doc_id for r in nearcopies.deduplicated(docs).collect()) == brute_kept(rows)
+
+
+def test_band_recall_at_the_limit():
+    """Of pairs at 0.8 the bands lose few."""
+    rng = np.random.default_rng(5)
+    met = []
+    for _ in range(600):
+        a = rng.integers(0, 2**63, 180).astype(np.uint64)
+        b = np.concatenate([a[:160], rng.integers(0, 2**63, 20).astype(np.uint64)])
+        met.append((nearcopies.signature(a)[0] == nearcopies.signature(b)[0]).any())
+    assert np.mean(met) > 0.99
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(6)
+    left, right = ([rng.choice(200, size, replace=False) for size in sizes] for sizes in ((5, 0, 90), (30, 200)))
+    assert nearcopies.shared_counts(left, right).tolist() == [[len(set(a) & set(b)) for b in right] for a in left]
+    assert nearcopies.shared_counts([], right).shape == (0, 2)
+
+
+def test_clashing_columns_and_long_texts(spark):
+    long_text = " ".join(f"w{k % 5000}x{k // 7}" for k in range(60_000))
+    rows = [(1, long_text, 1), (2, long_text + " end", 2), (3, "short one here now then", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").selectExpr("*", "'en' as lang", "'s' as source", "_row as _kept", "_row as key", "_row as _text")
+    for stage in (nearcopies.deduplicated, simhash.deduplicated, rules.quality_filter):
+        out = stage(docs)
+        assert out.columns == docs.columns and all(r._row == r._kept == r.key == r.doc_id for r in out.collect())
+    assert sorted(r.doc_id for r in nearcopies.deduplicated(docs).collect()) == [1, 3]
+    assert nearcopies.deduplicated(docs.limit(0)).count() == 0

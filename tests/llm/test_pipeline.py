@@ -3,8 +3,8 @@
 import corpus_pipeline
 from tabscout.llm import pii, rules
 from tabscout.llm.common import table, written
+from tests.llm.test_nearcopies import brute_kept
 from tests.llm.test_packing import PATH
-from tests.llm.test_simhash import brute_fingerprint, brute_groups
 from tokenizers import Tokenizer
 
 
@@ -40,12 +40,9 @@ def test_stages(spark):
     assert 0 < kept.count() < docs.count()
 
     rows = as_rows(kept)
-    parts = brute_groups([brute_fingerprint(r.text) for r in rows], 4)
-    first = {}
-    for r, p in zip(rows, parts):
-        first[p] = min(first.get(p, r.doc_id), r.doc_id)
+    first = set(brute_kept([(r.doc_id, r.text) for r in rows]))
     single = written(stages["near duplicates"](spark, kept, ""))
-    assert single.columns == columns and as_rows(single) == [r for r in rows if r.doc_id in first.values()]
+    assert single.columns == columns and as_rows(single) == [r for r in rows if r.doc_id in first]
     assert single.count() < kept.count()
 
     rows = as_rows(single)
