@@ -15,8 +15,7 @@ import hashlib
 import heapq
 import re
 import zlib
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -27,10 +26,8 @@ from pyspark.sql import DataFrame
 from tabscout.llm.common import documents_text, in_batches, values
 
 SPACE = "\u2581"
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 LONG_SEGMENT = 40
-# Characters of the documents whose segments are merged together, and segments of one such step.
-GROUP_CHARS, GROUP_SEGMENTS = 1 << 18, 1 << 14
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("spans_crc32", pa.int64())])
 DIGESTS_DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long"
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("begins", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("decoded", pa.string())])
@@ -67,83 +64,6 @@ class CharMap:
         return node ^ ((unit >> 10) << ((unit & 0x200) >> 6))
 
 
-class Recent(dict):
-    """A cache of two generations: a full one becomes the old one, and what is asked for again moves to the new one."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def __missing__(self, key):
-        found = self.old.get(key)
-        if found is not None:
-            self.keep(key, found)
-        return found
-
-    def keep(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
-class PairTable:
-    """Which two units merge to which, for many segments at once. Units are pieces by their id, then characters that are only
-    parts of pieces; anything else is -1."""
-
-    def __init__(self, cost: dict[str, float], id_: dict[str, int], pieces: int):
-        units = dict(id_)
-        for char in sorted({c for p in cost for c in p} - units.keys()):
-            units[char] = pieces + len(units)
-        found = sorted((units[p[:k]] << 32 | units[p[k:]], c, units[p]) for p, c in cost.items() for k in range(1, len(p)) if p[:k] in units and p[k:] in units)
-        # A last key above all others, so that a place found is never beyond the end.
-        self.keys = np.array([f[0] for f in found] + [1 << 62], dtype=np.int64)
-        self.cost = np.array([f[1] for f in found] + [np.inf])
-        self.both = np.array([f[2] for f in found] + [-1], dtype=np.int64)
-        self.of_char = np.full(0x110000, -1, dtype=np.int64)
-        for char, unit in units.items():
-            if len(char) == 1:
-                self.of_char[ord(char)] = unit
-
-    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cost, merged unit) of neighbours; endless if they don't merge."""
-        keys = np.where((left < 0) | (right < 0), (1 << 62) - 1, left << 32 | right)
-        place = np.searchsorted(self.keys, keys)
-        known = self.keys[place] == keys
-        return np.where(known, self.cost[place], np.inf), self.both[place]
-
-    def merged(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(units, how many of a row count) of segments of one length: in each the best-scored pair, leftmost first, is merged
-        again and again."""
-        size = len(segments[0])
-        units = self.of_char[np.frombuffer("".join(segments).encode("utf-32-le"), dtype="<u4").reshape(len(segments), size)]
-        if size == 1:
-            return units, np.ones(len(units), dtype=np.int64)
-        # One more pair that never merges stands at the end, where units move up.
-        cost, both = (np.column_stack([v, np.full(len(segments), e)]) for v, e in zip(self.pairs(units[:, :-1], units[:, 1:]), (np.inf, -1)))
-        count, places = np.full(len(segments), size), np.arange(size)
-        open_ = np.arange(len(segments))
-        while len(open_):
-            at = cost[open_].argmin(axis=1)
-            going = cost[open_, at] < np.inf
-            open_, at = open_[going], at[going]
-            if not len(open_):
-                break
-            units[open_, at] = both[open_, at]
-            behind = places[None, :] > at[:, None]
-            shift = np.minimum(places + behind, size - 1)
-            units[open_] = np.take_along_axis(units[open_], shift, 1)
-            # The pair at `at` is gone; those behind it move up.
-            shift = np.minimum(places + (places[None, :] >= at[:, None]), size - 1)
-            cost[open_], both[open_] = np.take_along_axis(cost[open_], shift, 1), np.take_along_axis(both[open_], shift, 1)
-            count[open_] -= 1
-            for place, there in ((at - 1, at > 0), (at, at + 1 < count[open_])):
-                rows, k = open_[there], place[there]
-                cost[rows, k], both[rows, k] = self.pairs(units[rows, k], units[rows, k + 1])
-            cost[open_, count[open_] - 1] = np.inf
-        return units, count
-
-
 class PieceModel:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as formats
@@ -173,11 +93,7 @@ class PieceModel:
         crosses = any(SPACE in p.lstrip(SPACE) for p in self.cost)
         lines = not any("\n" in p and p != "\n" for p in self.cost)
         self.segments = re.compile("[\\s\\S]+" if crosses else f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if lines else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.cache = Recent(CACHE_WORDS)
-        self.table = PairTable(self.cost, self.id, len(self.names))
-        self.decimal = [str(k) for k in range(len(self.names))]
-        self.shown = [n.replace(SPACE, " ") for n in self.names]
-        self.width = [len(n.encode()) for n in self.names]
+        self.cache: dict[str, tuple] = {}
 
     # Normalisation
 
@@ -332,55 +248,19 @@ class PieceModel:
         text = self.decoded(ids)
         return text[1:] if self.prefix and text.startswith(" ") else text
 
-    def learnt(self, segments: list[str]) -> dict[str, tuple]:
-        """The entries of distinct segments, merged together by length."""
-        out, by_length = {}, defaultdict(list)
-        decimal, shown, width = self.decimal, self.shown, self.width
-        for segment in segments:
-            if len(segment) > LONG_SEGMENT:
-                out[segment] = self.segment_entry(segment)
-            else:
-                by_length[len(segment)].append(segment)
-        for alike in by_length.values():
-            for k in range(0, len(alike), GROUP_SEGMENTS):
-                part = alike[k : k + GROUP_SEGMENTS]
-                units, count = self.table.merged(part)
-                # A character without a piece takes the longer way.
-                odd = (((units < 0) | (units >= len(self.names))) & (np.arange(units.shape[1]) < count[:, None])).any(axis=1)
-                for segment, ids, n, other in zip(part, units.tolist(), count.tolist(), odd.tolist()):
-                    if other:
-                        out[segment] = self.segment_entry(segment)
-                        continue
-                    del ids[n:]
-                    out[segment] = (ids, " ".join([decimal[i] for i in ids]), "".join([shown[i] for i in ids]), bytes([width[i] for i in ids]))
-        return out
-
-    def entries_of(self, texts: Iterable[str]) -> Iterator[tuple[list[tuple], np.ndarray]]:
-        """The entries of the segments of each text, and its alignment; segments that aren't known are merged together for a
-        group of texts."""
-        group: list[tuple[list[str], np.ndarray]] = []
-        size = 0
-        for text in texts:
-            normal, source = self.normalise(text)
-            group.append((self.segments.findall(normal), source))
-            size += len(normal)
-            if size >= GROUP_CHARS:
-                yield from self._group_entries(group)
-                group, size = [], 0
-        yield from self._group_entries(group)
-
-    def _group_entries(self, group: list[tuple[list[str], np.ndarray]]) -> Iterator[tuple[list[tuple], np.ndarray]]:
-        known = {s: self.cache[s] for s in set().union(*(segments for segments, _ in group))}
-        fresh = self.learnt([s for s, entry in known.items() if entry is None])
-        known |= fresh
-        for segment, entry in fresh.items():
-            if len(segment) <= LONG_SEGMENT:
-                self.cache.keep(segment, entry)
-        for segments, source in group:
-            yield [known[s] for s in segments], source
-
     def entries(self, text: str) -> tuple[list[tuple], np.ndarray]:
-        return next(self.entries_of([text]))
+        normal, source = self.normalise(text)
+        cache, out = self.cache, []
+        for segment in self.segments.findall(normal):
+            entry = cache.get(segment)
+            if entry is None:
+                if len(cache) >= CACHE_WORDS:
+                    cache.clear()
+                entry = self.segment_entry(segment)
+                if len(segment) <= LONG_SEGMENT:
+                    cache[segment] = entry
+            out.append(entry)
+        return out, source
 
     def encode(self, text: str) -> tuple[list[int], np.ndarray, np.ndarray, str]:
         """ids with the end id, the span of each id in the text's UTF-8 bytes (the end id's is empty), and the text
@@ -450,13 +330,12 @@ def encode_digests(docs: DataFrame, model_path: str) -> DataFrame:
         model = model_of(model_path)
 
         def rows():
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for doc_id, (entries, source) in zip(ids, model.entries_of(texts)):
-                    listed = " ".join([*[e[1] for e in entries], str(model.end)])
-                    begins, ends = model.spans(entries, source)
-                    yield (doc_id, len(begins), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(model.joined(entries).encode()).hexdigest(),
-                           zlib.crc32(np.stack([begins, ends], axis=1).astype("<i8").tobytes()))
+            for doc_id, text in values(batches, "doc_id", "text"):
+                entries, source = model.entries(text)
+                listed = " ".join([*[e[1] for e in entries], str(model.end)])
+                begins, ends = model.spans(entries, source)
+                yield (doc_id, len(begins), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(model.joined(entries).encode()).hexdigest(),
+                       zlib.crc32(np.stack([begins, ends], axis=1).astype("<i8").tobytes()))
 
         yield from in_batches(rows(), DIGESTS)
 
