@@ -1,18 +1,21 @@
 """Brown class-based bigrams: words get classes by exchange clustering; a text's probability is the product of class
 transitions and of words within their class.
 
-Classes are: the end of a text; CLASSES clusters of the CLUSTERED most frequent words, found by exchanging words
-between classes as long as the bigram likelihood rises; bands of further frequent words by the octave of their count;
-and one class of rare words, which also holds all unknown words as one event (as the base score does). Transitions are
-smoothed towards the classes' own frequencies, rare words are discounted in favour of unknown ones.
+Classes are: the end of a text; CLASSES clusters of words; and one class of rare words, which also holds all unknown
+words as one event (as the base score does). Every frequent word is in a cluster. The SEEDS most frequent ones start
+them: they are exchanged one at a time in the driver. All further ones are put where the bigram likelihood is highest,
+and then all words are exchanged in rounds: tasks count which classes stand before and after each word, blocks of words
+meet in one task each, which finds every word's best class against the small table of classes, and of several sets of
+these moves the one with the highest likelihood is made, if it is higher than before. Transitions are smoothed towards
+the classes' own frequencies, rare words are discounted in favour of unknown ones.
 
 Word counts are gathered from every training text and stay in a table; only the MOST_FREQUENT words that occur at
-least LEAST_COUNT times, and sums over units and classes (all bounded by those parameters), go to the driver and to
+least LEAST_COUNT times, their classes, and sums over classes (all bounded by those parameters) go to the driver and to
 tasks. Rare words of a text meet their counts in a join.
 
 Defined cases: a null or empty text is the end token alone; a null id belongs to the training texts; repeated rows
-count each; with no training text at all every count is zero and N = V = 0; an empty table gives no rows; other
-columns are ignored.
+count each; with no training text at all every count is zero and N = V = 0; an empty table gives no rows; a very long
+text is coded and scored whole; equally good classes go to the lower number; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,18 +28,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tabscout.llm.common import documents_text, written
+from tabscout.llm.common import documents_text, rows_to_batch, written
 
 MOST_FREQUENT, LEAST_COUNT, LONGEST_WORD = 131_072, 3, 256
-CLUSTERED, CLASSES, BANDS, ROUNDS = 512, 48, 64, 8
+SEEDS, CLASSES, SEED_ROUNDS, ROUNDS = 512, 48, 8, 3
 FOLDS, HELD_OUT = 7, 2
 PRIOR = 4.0
 STEPS = 64
 FLUSH = 1 << 20
-# Units: the clustered words, then the bands, the rare words and the end.
-RARE_UNIT, END_UNIT = CLUSTERED + BANDS, CLUSTERED + BANDS + 1
-UNITS = END_UNIT + 1
-RARE_CLASS, END_CLASS = CLASSES + BANDS, CLASSES + BANDS + 1
+BLOCK = 32
+RARE_CLASS, END_CLASS = CLASSES, CLASSES + 1
 ALL_CLASSES = END_CLASS + 1
 
 
@@ -73,46 +74,93 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def unit_bigrams(training: DataFrame, units) -> np.ndarray:
-    """How often a unit follows a unit. units: broadcast of the frequent words' units."""
+def coded(training: DataFrame, units) -> DataFrame:
+    """Each text as 32-bit numbers: its words' places among the frequent ones (rare words share the place after
+    them), then the end (the place after that). units: broadcast of the frequent words' places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = units.value
-        total = np.zeros(UNITS * UNITS, dtype=np.int64)
-        held: list[np.ndarray] = []
-        size = 0
+        rare = len(unit)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = np.array([END_UNIT, *[unit.get(w, RARE_UNIT) for w in words_of(text)], END_UNIT], dtype=np.int64)
-                held.append(own[:-1] * UNITS + own[1:])
-                size += len(own)
-                if size > FLUSH:
-                    total += np.bincount(np.concatenate(held), minlength=len(total))
-                    held, size = [], 0
-        if held:
-            total += np.bincount(np.concatenate(held), minlength=len(total))
-        pair = np.nonzero(total)[0]
-        yield pa.record_batch([pa.array(pair), pa.array(total[pair])], names=["pair", "n"])
-
-    # At most UNITS x UNITS sums.
-    sums = training.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(UNITS * UNITS, dtype=np.int64)
-    out[sums.pair.to_numpy(dtype=np.int64)] = sums.n.to_numpy(dtype=np.int64)
-    return out.reshape(UNITS, UNITS)
+            codes = [np.array([*[unit.get(w, rare) for w in words_of(t)], rare + 1], dtype="<i4").tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.record_batch([pa.array(codes, pa.binary())], names=["codes"])
+
+    return written(training.select("text").mapInArrow(run, "codes binary"))
+
+
+def neighbours(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and the places after them, a quarter of a million at a time. Each text begins after an end."""
+    held: list[bytes] = []
+    size = 0
+
+    def pair() -> tuple[np.ndarray, np.ndarray]:
+        stream = np.concatenate([[end], np.frombuffer(b"".join(held), dtype="<i4")]).astype(np.int64)
+        return stream[:-1], stream[1:]
+
+    for batch in batches:
+        for codes in batch.column(0).to_pylist():
+            held.append(codes)
+            size += len(codes)
+            if size > FLUSH:
+                yield pair()
+                held, size = [], 0
+    if held:
+        yield pair()
+
+
+def summed_pairs(codes: DataFrame, maps: list[np.ndarray], width: int) -> np.ndarray:
+    """For each map of places to fewer groups: how often a group follows a group."""
+    shared = codes.sparkSession.sparkContext.broadcast(maps)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        maps = shared.value
+        total = np.zeros((len(maps), width * width), dtype=np.int64)
+        for a, b in neighbours(batches, len(maps[0]) - 1):
+            for k, group in enumerate(maps):
+                total[k] += np.bincount(group[a] * width + group[b], minlength=width * width)
+        total = total.ravel()
+        cell = np.nonzero(total)[0]
+        yield pa.record_batch([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+    # At most len(maps) x width x width sums.
+    sums = codes.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(maps) * width * width, dtype=np.int64)
+    out[sums.cell.to_numpy(dtype=np.int64)] = sums.n.to_numpy(dtype=np.int64)
+    return out.reshape(len(maps), width, width)
 
 
 def entropy_terms(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
 
 
-def likelihood(pairs: np.ndarray, of: np.ndarray, classes: int) -> float:
+def table_likelihood(table: np.ndarray) -> float:
     """Of the classes' bigrams: the part that depends on the assignment."""
-    table = np.zeros((classes, classes))
-    np.add.at(table, (of[:, None], of[None, :]), pairs)
     return float(entropy_terms(table).sum() - entropy_terms(table.sum(axis=0)).sum() - entropy_terms(table.sum(axis=1)).sum())
 
 
-def exchange(pairs: np.ndarray, movable: int, classes: int, fixed: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def likelihood(pairs: np.ndarray, of: np.ndarray, classes: int) -> float:
+    table = np.zeros((classes, classes))
+    np.add.at(table, (of[:, None], of[None, :]), pairs)
+    return table_likelihood(table)
+
+
+def move_gains(table: np.ndarray, out: np.ndarray, into: np.ndarray, loop: float, classes: int) -> np.ndarray:
+    """What a word adds to the likelihood in each of the first classes. table: the classes' bigrams without the word;
+    out, into: the classes after and before it, `loop` more pairs being the word twice."""
+    # The word's neighbours count in their own classes' sums wherever it goes.
+    rows, columns = table.sum(axis=1)[:classes] + into[:classes], table.sum(axis=0)[:classes] + out[:classes]
+    o, i = out.sum() + loop, into.sum() + loop
+    after, before = np.nonzero(out)[0], np.nonzero(into)[0]  # other classes add nothing
+    ahead, behind = table[:classes, after], table[before, :classes].T
+    row_gain = (entropy_terms(ahead + out[after]) - entropy_terms(ahead)).sum(axis=1)
+    column_gain = (entropy_terms(behind + into[before]) - entropy_terms(behind)).sum(axis=1)
+    corner, c_out, c_into = table.diagonal()[:classes], out[:classes], into[:classes]
+    both, neither, one, other, rows_with, rows_now, columns_with, columns_now = entropy_terms(np.array([
+        corner + c_out + c_into + loop, corner, corner + c_out, corner + c_into, rows + o, rows, columns + i, columns]))
+    return row_gain + column_gain + both + neither - one - other - (rows_with - rows_now + columns_with - columns_now)
+
+
+def exchange(pairs: np.ndarray, movable: int, classes: int, fixed: np.ndarray, rounds: int = SEED_ROUNDS) -> np.ndarray:
     """Classes of the units: the first `movable` units move between the first `classes` classes, each to where the
     bigram likelihood is highest, until a round moves none; the other units keep their fixed classes."""
     of = np.concatenate([np.arange(movable) % classes, fixed])
@@ -135,16 +183,7 @@ def exchange(pairs: np.ndarray, movable: int, classes: int, fixed: np.ndarray, r
             table[own] -= out
             table[:, own] -= into
             table[own, own] -= loop
-            rows, columns = table.sum(axis=1), table.sum(axis=0)
-            o, i = out.sum() + loop, into.sum() + loop
-            c = np.arange(classes)
-            row_gain = (entropy_terms(table[:classes] + out) - entropy_terms(table[:classes])).sum(axis=1)
-            column_gain = (entropy_terms(table[:, :classes].T + into) - entropy_terms(table[:, :classes].T)).sum(axis=1)
-            corner = table[c, c]
-            both = entropy_terms(corner + out[c] + into[c] + loop) - entropy_terms(corner)
-            corner_gain = both - (entropy_terms(corner + out[c]) - entropy_terms(corner)) - (entropy_terms(corner + into[c]) - entropy_terms(corner))
-            size_loss = entropy_terms(rows[:classes] + o) - entropy_terms(rows[:classes]) + entropy_terms(columns[:classes] + i) - entropy_terms(columns[:classes])
-            gain = row_gain + column_gain + corner_gain - size_loss
+            gain = move_gains(table, out, into, loop, classes)
             best = int(np.argmax(gain))
             if gain[best] <= gain[own] + 1e-9:
                 best = own
@@ -162,16 +201,111 @@ def exchange(pairs: np.ndarray, movable: int, classes: int, fixed: np.ndarray, r
     return of
 
 
+def best_moves(codes: DataFrame, of: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each frequent word the class where the likelihood is highest, all others staying, and how much it gains."""
+    words = len(of) - 2
+    width = 2 * ALL_CLASSES + 1
+    shared = codes.sparkSession.sparkContext.broadcast((of, table.astype(float)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value[0]
+        # For each word: the classes after it, those before it, and how often it follows itself.
+        total = np.zeros(words * width, dtype=np.int64)
+        for a, b in neighbours(batches, words + 1):
+            first, second = a < words, b < words
+            cells = [a[first] * width + of[b[first]], b[second] * width + ALL_CLASSES + of[a[second]], a[first & (a == b)] * width + 2 * ALL_CLASSES]
+            cell, n = np.unique(np.concatenate(cells), return_counts=True)
+            total[cell] += n
+        cell = np.nonzero(total)[0]
+        n = total[cell]
+        block, start = np.unique(cell // (BLOCK * width), return_index=True)
+        ends = pa.array(np.append(start, len(cell)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((cell - cell // (BLOCK * width) * BLOCK * width).astype(np.int32), n)]
+        yield from pa.Table.from_arrays([pa.array(block, pa.int64()), *lists], names=["block", "cell", "n"]).to_batches(max_chunksize=256)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, table = shared.value
+        filled = table.sum(axis=1)[:CLASSES] > 0
+
+        def chosen(block: int, sums: np.ndarray) -> pa.RecordBatch:
+            rows = []
+            for k, found in enumerate(sums.reshape(BLOCK, width).astype(float)):
+                word = block * BLOCK + k
+                if word >= words or not found.any():
+                    continue
+                own, loop = of[word], found[-1]
+                out, into = found[:ALL_CLASSES].copy(), found[ALL_CLASSES:-1].copy()
+                out[own] -= loop
+                into[own] -= loop
+                rest = table.copy()
+                rest[own] -= out
+                rest[:, own] -= into
+                rest[own, own] -= loop
+                gain = move_gains(rest, out, into, loop, CLASSES)
+                if own >= CLASSES and filled.any():
+                    gain[~filled] = -np.inf  # all new words at once would meet in an empty class
+                best = int(np.argmax(gain))
+                rows.append((word, best, gain[best] - gain[own] if own < CLASSES else np.inf))
+            return rows_to_batch(rows, MOVES)
+
+        now, sums = -1, np.zeros(BLOCK * width, dtype=np.int64)
+        for block, cell, n in ((b.as_py(), c.values.to_numpy(), n.values.to_numpy()) for batch in batches for b, c, n in zip(*batch.columns)):
+            if block != now:
+                if now >= 0:
+                    yield chosen(now, sums)
+                now, sums = block, np.zeros(BLOCK * width, dtype=np.int64)
+            sums[cell] += n
+        if now >= 0:
+            yield chosen(now, sums)
+
+    blocks = codes.mapInArrow(count, "block long, cell array<int>, n array<long>").repartition("block").sortWithinPartitions("block")
+    moves = blocks.mapInArrow(choose, "word long, best int, gain double").toPandas()  # a row for each frequent word
+    best, gain = of[:words].copy(), np.zeros(words)
+    best[moves.word.to_numpy(dtype=np.int64)] = moves.best
+    gain[moves.word.to_numpy(dtype=np.int64)] = moves.gain
+    return best, gain
+
+
+MOVES = pa.schema([("word", pa.int64()), ("best", pa.int32()), ("gain", pa.float64())])
+
+
+def clustered(codes: DataFrame, words: int, seeds: int = SEEDS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of the places, the classes' bigrams, and the likelihood once all words have a class and after each round."""
+    seeds = min(seeds, words)
+    place = np.arange(words + 2)
+    few = np.where(place < seeds, place, np.where(place == words + 1, seeds + 1, seeds))
+    pairs = summed_pairs(codes, [few], seeds + 2)[0]
+    of = exchange(pairs, seeds, CLASSES, np.array([RARE_CLASS, END_CLASS]))[few]
+    if words > seeds:
+        best, gain = best_moves(codes, of, summed_pairs(codes, [of], ALL_CLASSES)[0])
+        of[seeds:words] = best[seeds:]
+    table = summed_pairs(codes, [of], ALL_CLASSES)[0]
+    climb = [table_likelihood(table)]
+    for _ in range(rounds if words else 0):
+        best, gain = best_moves(codes, of, table)
+        better = gain > 1e-6
+        if not better.any():
+            break
+        # Moves at the same time may spoil each other: try all, every other one, and the few that gain most.
+        few_best = [better & (gain >= np.quantile(gain[better], q)) for q in (0.75, 0.97)]
+        sets = [better, better & (place[:words] % 2 == len(climb) % 2), *few_best]
+        tried = [np.append(np.where(x, best, of[:words]), of[words:]) for x in sets]
+        tables = summed_pairs(codes, tried, ALL_CLASSES)
+        reached = [table_likelihood(t) for t in tables]
+        k = int(np.argmax(reached))
+        if reached[k] <= climb[-1]:
+            break
+        of, table = tried[k], tables[k]
+        climb.append(reached[k])
+    return of, table, climb
+
+
 class Model:
     """What tasks need: for each frequent word its class, and the logs of its emission and base probability."""
 
-    def __init__(self, words: list[bytes], counts: np.ndarray, units: np.ndarray, pairs: np.ndarray, facts: dict):
+    def __init__(self, words: list[bytes], counts: np.ndarray, of: np.ndarray, table: np.ndarray, facts: dict):
         self.index = {w: k for k, w in enumerate(words)}
-        fixed = np.concatenate([CLASSES + np.arange(BANDS), [RARE_CLASS, END_CLASS]])
-        of = exchange(pairs, CLUSTERED, CLASSES, fixed)
-        self.classes = of[units] if len(words) else np.zeros(0, dtype=int)
-        table = np.zeros((ALL_CLASSES, ALL_CLASSES))
-        np.add.at(table, (of[:, None], of[None, :]), pairs)
+        self.classes = of[: len(words)]
         own = table.sum(axis=0)
         overall = (own + 1) / (own.sum() + ALL_CLASSES)
         self.transitions = np.log10((table + PRIOR * overall) / (table.sum(axis=1, keepdims=True) + PRIOR))
@@ -183,6 +317,7 @@ class Model:
         self.end_base = float(np.log10(facts["texts"] + 1) - self.base_floor)
         once, twice = facts["once"], facts["twice"]
         self.discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        self.climb = facts["climb"]
         self.rare_tokens, self.rare_words = facts["rare_tokens"], facts["rare_words"]
         unknown = self.discount * self.rare_words / self.rare_tokens if self.rare_tokens else 1.0
         self.unknown = float(np.log10(unknown))
@@ -208,13 +343,13 @@ def trained(rows: DataFrame) -> tuple[Model, DataFrame]:
     counts = written(word_counts(training))
     frequent = most_frequent(counts).toPandas().sort_values(["c", "word"], ascending=[False, True])
     words, numbers = [bytes(w) for w in frequent.word], frequent.c.to_numpy(dtype=np.int64)
-    units = np.where(np.arange(len(words)) < CLUSTERED, np.arange(len(words)), CLUSTERED + np.minimum(BANDS - 1, np.log2(np.maximum(numbers, 1)).astype(int)))
     sums = counts.agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     texts = training.count()
     facts = {"texts": texts, "tokens": (sums[0] or 0) + texts, "distinct": sums[1] + (texts > 0), "once": sums[2], "twice": sums[3],
              "rare_tokens": (sums[0] or 0) - int(numbers.sum()), "rare_words": sums[1] - len(words)}
-    lookup = spark.sparkContext.broadcast(dict(zip(words, units.tolist())))
-    return Model(words, numbers, units, unit_bigrams(training, lookup), facts), counts
+    lookup = spark.sparkContext.broadcast({w: k for k, w in enumerate(words)})
+    of, table, climb = clustered(coded(training, lookup), len(words))
+    return Model(words, numbers, of, table, {**facts, "climb": climb}), counts
 
 
 SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_frequent", pa.int64()),

@@ -60,6 +60,11 @@ def test_model_is_a_distribution(spark, sf_dir):
     used = emitted > 0
     assert np.allclose(emitted[used], 1)
     assert used[: brown.CLASSES].all()
+    # Every frequent word is in a cluster, and each round of exchanges raises the likelihood.
+    assert (model.classes < brown.CLASSES).all()
+    assert len(model.climb) > 1 and all(a < b for a, b in zip(model.climb, model.climb[1:]))
+    usual = [bytes(r.word) for r in counts.collect() if r.c >= brown.LEAST_COUNT and len(r.word) <= brown.LONGEST_WORD]
+    assert set(usual) == set(model.index)
 
 
 def test_exchange_climbs_and_finds_planted_classes():
@@ -80,3 +85,50 @@ def test_exchange_climbs_and_finds_planted_classes():
             other = found.copy()
             other[w] = c
             assert brown.likelihood(pairs, other, groups) <= best + 1e-6
+
+
+def streams(spark, texts, words):
+    """Coded texts of places, spread over a few tasks."""
+    rows = [(np.array([*t, words + 1], dtype="<i4").tobytes(),) for t in texts]
+    return spark.createDataFrame(rows, "codes binary").repartition(3)
+
+
+def counted(texts, of, words):
+    table = np.zeros((brown.ALL_CLASSES, brown.ALL_CLASSES))
+    for t in texts:
+        path = of[np.array([words + 1, *t, words + 1])]
+        np.add.at(table, (path[:-1], path[1:]), 1)
+    return table
+
+
+def test_moves_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = 70  # three blocks, the last one not full
+    texts = [rng.integers(0, words + 1, rng.integers(0, 30)).tolist() for _ in range(80)] + [[3, 3, 3, 3], [], [words]]
+    of = np.append(rng.integers(0, brown.CLASSES, words), [brown.RARE_CLASS, brown.END_CLASS])
+    table = counted(texts, of, words)
+    codes = streams(spark, texts, words)
+    assert (brown.summed_pairs(codes, [of], brown.ALL_CLASSES)[0] == table).all()
+    best, gain = brown.best_moves(codes, of, table)
+    now = brown.table_likelihood(table)
+    for w in (0, 3, 31, 32, 69):
+        reached = []
+        for c in range(brown.CLASSES):
+            other = of.copy()
+            other[w] = c
+            reached.append(brown.table_likelihood(counted(texts, other, words)) - now)
+        assert abs(max(reached) - gain[w]) < 1e-6
+        assert abs(reached[best[w]] - max(reached)) < 1e-6
+
+
+def test_rounds_find_planted_classes(spark):
+    """Words beyond the seeds join the class of the seeds that stand in the same places."""
+    rng = np.random.default_rng(3)
+    words, groups = 120, 4
+    texts = [[int(g % groups + groups * rng.integers(0, words // groups)) for g in range(k, k + 60)] for k in range(200)]
+    of, table, climb = brown.clustered(streams(spark, texts, words), words, seeds=40, rounds=6)
+    assert (counted(texts, of, words) == table).all()
+    assert all(a < b for a, b in zip(climb, climb[1:]))
+    assert brown.table_likelihood(table) == climb[-1]
+    held = [set(of[g:words:groups]) for g in range(groups)]
+    assert all(not held[a] & held[b] for a in range(groups) for b in range(a))
