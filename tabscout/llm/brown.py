@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tabscout.llm.common import documents_text, rows_to_batch, written
+from tabscout.llm.common import documents_text, written
 
 MOST_FREQUENT, LEAST_COUNT, LONGEST_WORD = 131_072, 3, 256
 SEEDS, CLASSES, SEED_ROUNDS, ROUNDS = 512, 48, 8, 3
@@ -36,7 +36,7 @@ FOLDS, HELD_OUT = 7, 2
 PRIOR = 4.0
 STEPS = 64
 FLUSH = 1 << 20
-BLOCK = 32
+BLOCK = 128
 RARE_CLASS, END_CLASS = CLASSES, CLASSES + 1
 ALL_CLASSES = END_CLASS + 1
 
@@ -160,6 +160,37 @@ def move_gains(table: np.ndarray, out: np.ndarray, into: np.ndarray, loop: float
     return row_gain + column_gain + both + neither - one - other - (rows_with - rows_now + columns_with - columns_now)
 
 
+def block_gains(table: np.ndarray, out: np.ndarray, into: np.ndarray, loop: np.ndarray, own: np.ndarray, classes: int) -> np.ndarray:
+    """move_gains of many words (a row each), every one alone taken out of a table that still holds them all in their
+    own classes. The work grows with the words' neighbouring classes: most words have a few only."""
+    movable = np.nonzero(own < classes)[0]  # words whose own class is one of those tried
+    gain = np.zeros((len(own), classes))
+    sides = ((table[:classes].T, out, into), (table[:, :classes], into, out))
+    for bigrams, near, far in sides:  # bigrams[k, c]: of class c with its neighbour k
+        word, k = np.nonzero(near)
+        if not len(word):
+            continue
+        count, to = near[word, k], own[word]
+        now = bigrams[k]
+        same = to == k
+        now[same] -= far[word[same], :classes]
+        within = np.nonzero(to < classes)[0]
+        now[within, to[within]] -= count[within] + np.where(same[within], loop[word[within]], 0)
+        terms = entropy_terms(now + count[:, None]) - entropy_terms(now)
+        first = np.append(0, np.nonzero(np.diff(word))[0] + 1)
+        gain[word[first]] += np.add.reduceat(terms, first)
+    o, i = out.sum(axis=1) + loop, into.sum(axis=1) + loop
+    corner = np.repeat(table.diagonal()[None, :classes], len(own), axis=0)
+    rows, columns = (np.repeat(table.sum(axis=a)[None, :classes], len(own), axis=0) for a in (1, 0))
+    at = movable, own[movable]
+    corner[at] -= (out[at] + into[at] + loop[movable])
+    rows[at] -= o[movable]
+    columns[at] -= i[movable]
+    c_out, c_into = out[:, :classes], into[:, :classes]
+    gain += entropy_terms(corner + c_out + c_into + loop[:, None]) + entropy_terms(corner) - entropy_terms(corner + c_out) - entropy_terms(corner + c_into)
+    return gain - (entropy_terms(rows + o[:, None]) - entropy_terms(rows) + entropy_terms(columns + i[:, None]) - entropy_terms(columns))
+
+
 def exchange(pairs: np.ndarray, movable: int, classes: int, fixed: np.ndarray, rounds: int = SEED_ROUNDS) -> np.ndarray:
     """Classes of the units: the first `movable` units move between the first `classes` classes, each to where the
     bigram likelihood is highest, until a round moves none; the other units keep their fixed classes."""
@@ -228,25 +259,20 @@ def best_moves(codes: DataFrame, of: np.ndarray, table: np.ndarray) -> tuple[np.
         filled = table.sum(axis=1)[:CLASSES] > 0
 
         def chosen(block: int, sums: np.ndarray) -> pa.RecordBatch:
-            rows = []
-            for k, found in enumerate(sums.reshape(BLOCK, width).astype(float)):
-                word = block * BLOCK + k
-                if word >= words or not found.any():
-                    continue
-                own, loop = of[word], found[-1]
-                out, into = found[:ALL_CLASSES].copy(), found[ALL_CLASSES:-1].copy()
-                out[own] -= loop
-                into[own] -= loop
-                rest = table.copy()
-                rest[own] -= out
-                rest[:, own] -= into
-                rest[own, own] -= loop
-                gain = move_gains(rest, out, into, loop, CLASSES)
-                if own >= CLASSES and filled.any():
-                    gain[~filled] = -np.inf  # all new words at once would meet in an empty class
-                best = int(np.argmax(gain))
-                rows.append((word, best, gain[best] - gain[own] if own < CLASSES else np.inf))
-            return rows_to_batch(rows, MOVES)
+            found = sums.reshape(BLOCK, width)[: words - block * BLOCK].astype(float)
+            k = np.nonzero(found.any(axis=1))[0]
+            word, found = block * BLOCK + k, found[k]
+            own, loop, rank = of[word], found[:, -1], np.arange(len(k))
+            out, into = found[:, :ALL_CLASSES].copy(), found[:, ALL_CLASSES:-1].copy()
+            out[rank, own] -= loop
+            into[rank, own] -= loop
+            gain = block_gains(table, out, into, loop, own, CLASSES)
+            placed = own < CLASSES
+            if filled.any():
+                gain[np.ix_(~placed, ~filled)] = -np.inf  # all new words at once would meet in an empty class
+            best = np.argmax(gain, axis=1)
+            more = np.where(placed, gain[rank, best] - gain[rank, np.where(placed, own, 0)], np.inf)
+            return pa.record_batch([pa.array(word), pa.array(best.astype(np.int32)), pa.array(more)], schema=MOVES)
 
         now, sums = -1, np.zeros(BLOCK * width, dtype=np.int64)
         for block, cell, n in ((b.as_py(), c.values.to_numpy(), n.values.to_numpy()) for batch in batches for b, c, n in zip(*batch.columns)):

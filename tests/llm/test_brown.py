@@ -103,15 +103,15 @@ def counted(texts, of, words):
 
 def test_moves_equal_brute_force(spark):
     rng = np.random.default_rng(5)
-    words = 70  # three blocks, the last one not full
-    texts = [rng.integers(0, words + 1, rng.integers(0, 30)).tolist() for _ in range(80)] + [[3, 3, 3, 3], [], [words]]
+    words = 300  # three blocks, the last one not full
+    texts = [rng.integers(0, words + 1, rng.integers(0, 30)).tolist() for _ in range(120)] + [[3, 3, 3, 3], [], [words]]
     of = np.append(rng.integers(0, brown.CLASSES, words), [brown.RARE_CLASS, brown.END_CLASS])
     table = counted(texts, of, words)
     codes = streams(spark, texts, words)
     assert (brown.summed_pairs(codes, [of], brown.ALL_CLASSES)[0] == table).all()
     best, gain = brown.best_moves(codes, of, table)
     now = brown.table_likelihood(table)
-    for w in (0, 3, 31, 32, 69):
+    for w in (0, 3, 127, 128, 299):
         reached = []
         for c in range(brown.CLASSES):
             other = of.copy()
@@ -121,6 +121,29 @@ def test_moves_equal_brute_force(spark):
         assert abs(reached[best[w]] - max(reached)) < 1e-6
 
 
+def test_block_gains_equal_single_ones():
+    """Many words at once against each word taken out of the table: own classes tried and not, words after themselves."""
+    rng = np.random.default_rng(8)
+    words, classes, total = 60, 5, 7
+    of = rng.integers(0, total, words)
+    pairs = rng.poisson(0.3, (words, words)).astype(float)
+    pairs[7] = pairs[:, 7] = 0
+    table = np.zeros((total, total))
+    np.add.at(table, (of[:, None], of[None, :]), pairs)
+    loop, rank = pairs.diagonal().copy(), np.arange(words)
+    out = np.stack([pairs[:, of == k].sum(axis=1) for k in range(total)], axis=1)
+    into = np.stack([pairs[of == k].sum(axis=0) for k in range(total)], axis=1)
+    out[rank, of] -= loop
+    into[rank, of] -= loop
+    found = brown.block_gains(table, out, into, loop, of, classes)
+    for w in range(words):
+        rest = table.copy()
+        rest[of[w]] -= out[w]
+        rest[:, of[w]] -= into[w]
+        rest[of[w], of[w]] -= loop[w]
+        assert np.allclose(found[w], brown.move_gains(rest, out[w], into[w], loop[w], classes))
+
+
 def test_rounds_find_planted_classes(spark):
     """Words beyond the seeds join the class of the seeds that stand in the same places."""
     rng = np.random.default_rng(3)
