@@ -7,7 +7,8 @@ good and about bad texts, and with it the probability that a text of a pattern i
 character triples is fitted to these probabilities on a sample of about SAMPLE texts, dealt to SHARDS tasks whose
 weights are averaged; every text is then scored.
 
-Defined cases: a null or empty text has no triples, so its score is the intercept's; repeated rows get equal scores;
+Defined cases: a null or empty text has no triples, so its score is the intercept's; repeated rows get equal scores
+and are fitted as one row with their number; very long texts are read whole;
 with no texts nothing is learned and the result is empty; other columns are ignored.
 """
 
@@ -23,6 +24,7 @@ from tabscout.llm.common import documents_text
 
 BAD, GOOD, SILENT = 0, 1, 2
 SAMPLE, SHARDS, BUCKETS, EPOCHS, RATE, DECAY = 16_384, 8, 8192, 12, 2.0, 1e-5
+KEYS = 1 << 60
 EM_ROUNDS, TRUST = 200, 0.02
 # Frequent function words of some languages.
 FUNCTION_WORDS = frozenset(b"""the of and to in is it that for on with as was by are this be at from or an not but have
@@ -109,9 +111,14 @@ def features(text: str) -> np.ndarray:
     return np.sqrt(counts / total) if total and text else np.zeros(BUCKETS)
 
 
-def descend(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def sample_limit(texts: float) -> int:
+    """Texts whose 60-bit key is below this are drawn: about SAMPLE of them, whatever their number."""
+    return max(1, int(KEYS * min(1.0, SAMPLE / texts)))
+
+
+def descend(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
     """Logistic weights (the intercept last) by gradient steps over small batches, with rates that adapt to each
-    weight."""
+    weight. A row weighs within its batch as often as it occurs."""
     x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
     w, seen = np.zeros(x.shape[1], dtype=np.float32), np.full(x.shape[1], 1e-6, dtype=np.float32)
     rng = np.random.default_rng(7)
@@ -119,7 +126,8 @@ def descend(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         order = rng.permutation(len(x))
         for k in range(0, len(order), 32):
             rows = order[k : k + 32]
-            slope = x[rows].T @ (1 / (1 + np.exp(-(x[rows] @ w))) - y[rows]) / len(rows) + DECAY * w
+            part = times[rows] / times[rows].sum()
+            slope = x[rows].T @ (part * (1 / (1 + np.exp(-(x[rows] @ w))) - y[rows])) + DECAY * w
             seen += slope**2
             w -= RATE * slope / np.sqrt(seen) * 0.1
     return w
@@ -140,22 +148,24 @@ def train(docs: DataFrame) -> tuple[dict[int, float], np.ndarray, np.ndarray]:
     patterns = np.stack([codes // 3**k % 3 for k in range(LABELLERS)], axis=1)
     good, said = fit_labellers(patterns, counts)
     sure = dict(zip(codes.tolist(), posterior(patterns, good, said).tolist()))
-    part = min(1.0, SAMPLE / counts.sum())
     key = F.xxhash64("doc_id", "text")
-    sample = rows.withColumn("key", key).filter(F.pmod(F.shiftright("key", 20), F.lit(1 << 20)) < F.lit(int(part * (1 << 20))))
+    drawn = rows.withColumn("key", key).filter(F.pmod("key", F.lit(KEYS)) < F.lit(sample_limit(counts.sum())))
+    # Rows equal in id and text are drawn together, however many: one row with their number stands for them.
+    sample = drawn.groupBy("key", "text").agg(F.count("*").alias("times"))
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = [], []
+        x, y, times = [], [], []
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text, n in zip(*(c.to_pylist() for c in batch.columns)):
                 x.append(features(text).astype(np.float32))
                 y.append(sure[code(votes(text))])
+                times.append(n)
         if x:
-            weights = descend(np.array(x), np.array(y, dtype=np.float32)).astype("<f8")
+            weights = descend(np.array(x), np.array(y, dtype=np.float32), np.array(times, dtype=np.float32)).astype("<f8")
             yield pa.record_batch([pa.array([len(x)], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["n", "w"])
 
     # SHARDS rows of BUCKETS + 1 numbers.
-    found = sample.repartition(SHARDS, "key").sortWithinPartitions("key").select("text").mapInArrow(fit, "n long, w binary").toPandas()
+    found = sample.repartition(SHARDS, "key").sortWithinPartitions("key", "text").select("text", "times").mapInArrow(fit, "n long, w binary").toPandas()
     shards = sorted((bytes(w), n) for w, n in zip(found.w, found.n))
     weights = np.average([np.frombuffer(w, dtype="<f8") for w, _ in shards], axis=0, weights=[n for _, n in shards]) if shards else np.zeros(BUCKETS + 1)
     return sure, weights, said

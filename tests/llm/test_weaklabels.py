@@ -27,6 +27,26 @@ def test_expectation_maximisation_finds_planted_accuracies():
     assert found > best - 0.003
 
 
+def test_sample_at_any_size():
+    for texts in (1, 1000, 10**6, 10**10, 10**12, 10**15):
+        limit = weaklabels.sample_limit(texts)
+        assert 0 < limit <= weaklabels.KEYS
+        assert abs(limit / weaklabels.KEYS * texts - min(texts, weaklabels.SAMPLE)) < 1
+
+
+def test_many_copies_are_one_row_of_the_fit():
+    """The number of a row is its weight, and equal numbers change nothing."""
+    rng = np.random.default_rng(6)
+    x, y = rng.random((64, 5)).astype(np.float32), np.full(64, 0.5, dtype=np.float32)
+    y[0] = 1.0
+    once = np.ones(64, dtype=np.float32)
+    assert np.allclose(weaklabels.descend(x, y, once), weaklabels.descend(x, y, 3 * once), atol=1e-5)
+    often = once.copy()
+    often[0] = 1e6
+    score = [float(x[0] @ w[:-1] + w[-1]) for w in (weaklabels.descend(x, y, n) for n in (once, often))]
+    assert score[1] > score[0]
+
+
 def test_given_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
