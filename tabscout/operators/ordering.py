@@ -1,7 +1,7 @@
 """Row order at any size: balanced range buckets, look-back windows, rank cut points.
 
 A window over one long series would run as one task. Rows are instead assigned to
-range buckets by a broadcast row of bounds, each bucket runs its own window, and only the few rows
+range buckets by a short table of bounds, each bucket runs its own window, and only the few rows
 at bucket edges are recomputed together. A row's *position* is never materialised for
 splits: the ordering values at the wanted ranks are found by aggregates and the split
 becomes a plain filter.
@@ -9,8 +9,10 @@ becomes a plain filter.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +63,8 @@ def with_buckets(df: DataFrame, terms: list[Column], rows: int, per_bucket: int
     Returns the table, the term columns and the number of bounds. There are as many buckets
     as ``rows / per_bucket`` asks for. Bounds are whole tuples from a bounded sample, so equal
     leading values can still be split by the later terms. They only steer balance: any bounds
-    give a correct order. They travel as one broadcast row and are searched by halving.
+    give a correct order. A row's bucket is the number of bounds at or below it, searched in batches
+    by one function whatever the number of bounds; no plan grows with them and no row carries them.
     """
     named = df.withColumns({f"_o{i}": _orderable(df, t) for i, t in enumerate(terms)})
     order = [F.col(f"_o{i}") for i in range(len(terms))]
@@ -70,21 +73,72 @@ def with_buckets(df: DataFrame, terms: list[Column], rows: int, per_bucket: int
         return named.withColumn("_bucket", F.lit(0)), order, 0
     share = min(1.0, min(wanted * SAMPLE_PER_BUCKET, SAMPLE) / rows)
     slim = named.select(*order)
-    sample = slim if share >= 1.0 else slim.sample(share, seed)
-    points = sorted((tuple(r) for r in sample.collect()), key=_null_first)
-    bounds = sorted({points[len(points) * i // wanted] for i in range(1, wanted)}, key=_null_first) if points else []
+    ladder, bounds = _ladder((slim if share >= 1.0 else slim.sample(share, seed)).toArrow(), wanted)
     if not bounds:
         return named.withColumn("_bucket", F.lit(0)), order, 0
-    fields = ", ".join(f"k{i}: {f.dataType.simpleString()}" for i, f in enumerate(slim.schema.fields))
-    ladder = df.sparkSession.createDataFrame([(bounds,)], f"_ladder array<struct<{fields}>>")
-    key = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
-    found = named.crossJoin(F.broadcast(ladder)).withColumn("_bucket", F.lit(0))  # one row of at most SAMPLE tuples
-    step = 1 << (len(bounds).bit_length() - 1)
-    while step:
-        reach = F.col("_bucket") + step
-        found = found.withColumn("_bucket", F.when(F.get("_ladder", reach - 1) <= key, reach).otherwise(F.col("_bucket")))
-        step >>= 1
-    return found.drop("_ladder"), order, len(bounds)
+
+    @F.arrow_udf("int")
+    def bucket(*columns: pa.Array) -> pa.Array:
+        return pa.array(_reached(columns, ladder), pa.int32())
+
+    return named.withColumn("_bucket", bucket(*order)), order, bounds
+
+
+def _ladder(sample: pa.Table, wanted: int) -> tuple[list[tuple], int]:
+    """Bounds of buckets of about equal shares of the sample, by term, and their number.
+
+    Of each term: its distinct values in the bounds, the codes of the bounds' beginnings up to this term, each once, and how
+    many bounds lie before each of them.
+    """
+    if not sample.num_rows:
+        return [], 0
+    columns = [c.combine_chunks() for c in sample.columns]
+    places = [_place(c, np.unique(_known(c))) for c in columns]
+    picked = np.lexsort(places[::-1])[[sample.num_rows * i // wanted for i in range(1, wanted)]]
+    ties = np.logical_and.reduce([p[picked[1:]] == p[picked[:-1]] for p in places])
+    picked = picked[np.append(True, ~ties)]
+    ladder, begun = [], np.zeros(len(picked), dtype=np.int64)
+    for c in columns:
+        own = c.take(pa.array(picked))
+        marks = np.unique(_known(own))
+        codes, first, begun = np.unique(begun * _width(marks) + _place(own, marks), return_index=True, return_inverse=True)
+        ladder.append((marks, codes, np.append(first, len(picked))))
+    return ladder, len(picked)
+
+
+def _reached(columns: Sequence[pa.Array], ladder: list[tuple]) -> np.ndarray:
+    """How many bounds are at or below each row. Only rows that tie with a bound so far look at the next term."""
+    out = np.zeros(len(columns[0]), dtype=np.int64)
+    left, begun = np.arange(len(out)), np.zeros(len(out), dtype=np.int64)
+    for level, (column_, (marks, codes, first)) in enumerate(zip(columns, ladder)):
+        own = column_ if len(left) == len(column_) else column_.take(pa.array(left))
+        wanted = begun * _width(marks) + _place(own, marks)
+        at = np.searchsorted(codes, wanted)
+        tied = codes[np.minimum(at, len(codes) - 1)] == wanted
+        out[left] = first[at] + (tied if level == len(ladder) - 1 else 0)
+        left, begun = left[tied], at[tied]
+        if not len(left):
+            break
+    return out
+
+
+def _known(values: pa.Array) -> np.ndarray:
+    return values.drop_null().to_numpy(zero_copy_only=False)
+
+
+def _width(marks: np.ndarray) -> int:
+    return 2 * len(marks) + 2
+
+
+def _place(values: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """Where values lie among sorted marks, nulls first: even numbers from 2 on a mark, odd ones between."""
+    out = np.zeros(len(values), dtype=np.int64)
+    known = _known(values)
+    at = np.searchsorted(marks, known)
+    there = marks[np.minimum(at, len(marks) - 1)] if len(marks) else known
+    same = (there == known) | ((there != there) & (known != known))
+    out[values.is_valid().to_numpy(zero_copy_only=False)] = 1 + 2 * at + (same if len(marks) else 0)
+    return out
 
 
 def _orderable(df: DataFrame, term: Column) -> Column:
@@ -95,10 +149,6 @@ def _orderable(df: DataFrame, term: Column) -> Column:
     return term.cast("double") if is_number(dtype) else term.cast("string")
 
 
-def _null_first(values: tuple):
-    return tuple((v is not None, v) for v in values)
-
-
 def look_back(df: DataFrame, order: list[Column], series: list[str], build: Callable, reach: int,
               rows: int | None = None, per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add columns computed from at most ``reach`` earlier rows of the same series.

@@ -1,6 +1,7 @@
 """The paths large tables take, forced on small ones and compared with brute force."""
 
 import datetime
+import math
 import random
 
 import numpy as np
@@ -110,6 +111,25 @@ def test_buckets_are_not_capped(spark, monkeypatch):
         same_history(frame.collect(), brute_lags(rows, series))
 
 
+def test_buckets_of_odd_values_in_a_plan_of_one_size(spark):
+    """Buckets follow Spark's order of nulls, NaN, zeros and texts, and the plan doesn't grow with the bounds."""
+    rng = random.Random(5)
+    numbers, words = [None, math.nan, math.inf, -math.inf, -0.0, 0.0, 1.5, 2.5], [None, "", "a", "B", "ä", "\U0001f600", "\uffee"]
+    rows = [(rng.choice(numbers), rng.choice(words), None if i % 9 == 0 else 2**53 + i % 700) for i in range(3000)]
+    df = spark.createDataFrame(rows, "x double, w string, k bigint")
+    terms = [F.col("x"), F.col("w"), F.col("k")]
+    plans = []
+    for size in (3, 40, 1500):
+        keyed, order, bounds = O.with_buckets(df, terms, len(rows), per_bucket=size)
+        plans.append(len(keyed._jdf.queryExecution().optimizedPlan().toString()))
+        got = [r["_bucket"] for r in keyed.coalesce(1).sortWithinPartitions(*order).collect()]
+        assert got == sorted(got) and max(got) <= bounds
+        assert len(set(got)) > bounds * 0.9
+        by_value = keyed.groupBy(*terms).agg(F.countDistinct("_bucket").alias("n")).agg(F.max("n")).first()[0]
+        assert by_value == 1
+    assert max(plans) < 1.2 * min(plans)
+
+
 def test_typical_step_with_hot_moments(spark):
     """The median of all gaps, zero ones between equal moments included, for one series and for each of many."""
     base = 1_700_000_000
