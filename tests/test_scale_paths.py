@@ -223,3 +223,14 @@ def test_duplicates_with_nulls_and_swapped_columns(spark):
 def test_typical_step_falls_back_to_a_day(spark):
     one = spark.createDataFrame([(datetime.datetime(2024, 1, 1),)], "at timestamp")
     assert typical_step(one, "at").first()["step_micros"] == 86_400_000_000
+
+
+def test_auc_of_many_buckets_has_a_small_plan(spark):
+    rng = random.Random(8)
+    rows = [(rng.random() if i % 5 else 0.5, rng.choice("ab")) for i in range(2500)]
+    df = spark.createDataFrame(rows, "p double, y string")
+    out = roc_auc(df, "y", "p", "a", per_bucket=2)
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    hits, others = ([p for p, y in rows if y == v] for v in "ab")
+    wins = sum((h > o) + (h == o) / 2 for h in hits for o in others)
+    assert abs(out.first()[0] - wins / (len(hits) * len(others))) < 1e-9
