@@ -197,3 +197,35 @@ def test_flat_and_tiny_tables(spark):
     assert np.allclose(margins(fit, x)[:, 0], 3 - (1 - (1 - 0.3 * 60 / 61) ** 6))
     (one,) = B.boost(blocks(spark, x[:1], y[:1], parts=1), [squared_plan()], BINS)
     assert all(len(t.slot) == 1 for (t,) in one.rounds)
+
+
+def test_growing_blocks_hold_only_what_their_plans_read():
+    rng = np.random.default_rng(3)
+    bits = np.array([0, 1, 5, 255] * 50)
+    block = B.Block(rng.integers(0, 9, (3, 200)).astype(np.uint8), rng.random(200), rng.random(200), bits, np.arange(200))
+    plain, weighted, sampled = (B.Plan(B.Params(subsample=share), "squared", 0, weighted=w) for share, w in ((1.0, False), (1.0, True), (0.7, False)))
+    held = B.started([plain], [B.Fit(plain)])(block)
+    assert held.weight is None and held.key is None and held.roles.dtype == np.uint8 and (held.roles == bits).all()
+    held = B.started([plain, weighted, sampled], [B.Fit(p) for p in (plain, weighted, sampled)])(block)
+    assert (held.weight == block.weight).all() and (held.key == block.key).all()
+    top = B.started([plain], [B.Fit(plain)])(B.Block(block.codes, block.label, block.weight, bits << 20, block.key))
+    assert (top.roles == bits << 20).all()
+
+
+def test_rows_find_the_nodes_of_a_walk():
+    """Trees with ends at all depths, one that is its root and one split once, on rows laid out either way."""
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 9, (3, 500)).astype(np.uint8)
+    left, right = np.array([1, 3, -1, -1, 5, -1, -1]), np.array([2, 4, -1, -1, 6, -1, -1])
+    slot, table = np.array([2, 0, 0, 0, 1, 0, 0]), rng.random((7, 9)) < 0.5
+    for count, depth in ((1, 0), (3, 1), (7, 3)):
+        ends = np.where(left < count, left, -1)[:count], np.where(right < count, right, -1)[:count]
+        tree = B.Paths(slot[:count], *ends, table[:count], np.zeros(count), (), depth)
+        for rows in (codes, np.asfortranarray(codes), codes[:, :0]):
+            found = []
+            for row in rows.T:
+                at = 0
+                while ends[0][at] >= 0:
+                    at = ends[0][at] if table[at, row[slot[at]]] else ends[1][at]
+                found.append(at)
+            assert tree.place(rows).tolist() == found
