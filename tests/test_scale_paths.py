@@ -60,6 +60,10 @@ def hot_series(spark, n=1500):
     return rows, spark.createDataFrame(rows, "id int, at timestamp, v double, s string").repartition(4)
 
 
+def plan_size(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString())
+
+
 def brute_lags(rows, series):
     out = {}
     groups = {}
@@ -121,7 +125,7 @@ def test_buckets_of_odd_values_in_a_plan_of_one_size(spark):
     plans = []
     for size in (3, 40, 1500):
         keyed, order, bounds = O.with_buckets(df, terms, len(rows), per_bucket=size)
-        plans.append(len(keyed._jdf.queryExecution().optimizedPlan().toString()))
+        plans.append(plan_size(keyed))
         got = [r["_bucket"] for r in keyed.coalesce(1).sortWithinPartitions(*order).collect()]
         assert got == sorted(got) and max(got) <= bounds
         assert len(set(got)) > bounds * 0.9
@@ -156,6 +160,16 @@ def test_text_lags(spark):
     assert all(got[b[0]] == a[3] for a, b in zip(ordered, ordered[1:]))
 
 
+def test_text_lags_of_many_series_have_a_small_plan(spark):
+    rows, df = hot_series(spark, 1200)
+    few, out = (lag_features(df, "at", "s", ["id"], series="s", per_bucket=size) for size in (600, 10))
+    assert plan_size(out) < 1.2 * plan_size(few)
+    got, last = {r["id"]: r["s_lag1"] for r in out.collect()}, {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        assert got[r[0]] == last.get(r[3])
+        last[r[3]] = r[3]
+
+
 def test_global_position(spark):
     rows, df = hot_series(spark)
     placed = O.global_position(df, O.order_terms(df, "at", ["id"]), per_bucket=50)
@@ -229,8 +243,8 @@ def test_auc_of_many_buckets_has_a_small_plan(spark):
     rng = random.Random(8)
     rows = [(rng.random() if i % 5 else 0.5, rng.choice("ab")) for i in range(2500)]
     df = spark.createDataFrame(rows, "p double, y string")
-    out = roc_auc(df, "y", "p", "a", per_bucket=2)
-    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    few, out = (roc_auc(df, "y", "p", "a", per_bucket=size) for size in (1000, 2))
+    assert plan_size(out) < 1.2 * plan_size(few)
     hits, others = ([p for p, y in rows if y == v] for v in "ab")
     wins = sum((h > o) + (h == o) / 2 for h in hits for o in others)
     assert abs(out.first()[0] - wins / (len(hits) * len(others))) < 1e-9
