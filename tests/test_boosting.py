@@ -1,6 +1,7 @@
 """Histogram boosting: splits against all splits, shared passes against separate fits, stopping, rules, quantiles."""
 
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -229,3 +230,52 @@ def test_rows_find_the_nodes_of_a_walk():
                     at = ends[0][at] if table[at, row[slot[at]]] else ends[1][at]
                 found.append(at)
             assert tree.place(rows).tolist() == found
+
+
+@pytest.mark.parametrize("kind", ["squared", "logistic", "softmax"])
+def test_sums_by_cell_are_those_of_its_rows(kind):
+    """Plans that read rows merged or singly, with weights and samples; rows of nobody are left out."""
+    x, y = sample(3000)
+    y = {"squared": y, "logistic": (y > 5).astype(float), "softmax": np.digitize(y, [3, 6]).astype(float)}[kind]
+    rng = np.random.default_rng(8)
+    codes, roles, weight, key = BINS.codes(x), np.arange(3000) % 4, rng.random(3000) + 0.5, np.arange(3000)
+    start = (0.2, 0.5, 0.4) if kind == "softmax" else (0.7,)
+    plans = [B.Plan(B.Params(subsample=share), kind, 0, 1, len(start), weighted=w, start=start) for share, w in ((1.0, False), (0.7, False), (1.0, True))]
+    plans.append(B.Plan(PARAMS, "quantile", 0, 1, share=0.9, start=(4.0,)))
+    held = [B.Block(codes[:, i], y[i], weight[i], roles[i], key[i]) for i in np.array_split(np.arange(3000), 4)]
+    (cells,) = B.folded(plans, BINS.width)(map(B.started(plans, [B.Fit(p) for p in plans]), held))
+    own = roles > 0
+    known, cell = np.unique(codes[:, own], axis=1, return_inverse=True)
+    assert (cells.codes == known).all() and known.shape[1] < own.sum()
+    out = B.summed(plans, [0, 1, 2, 3], 5, True)(cells)
+    assert out.rows is None
+    for m, plan in enumerate(plans):
+        margin = np.repeat(np.array(plan.start)[:, None], own.sum(), axis=1)
+        used = (roles[own] & 1 > 0) & B.drawn(key[own], plan.params.subsample, 42 * 1_000_003 + 5)
+        times = used * (weight[own] if plan.weighted else 1.0)
+        for k, (g, h) in enumerate(zip(*plan.gradients(margin, y[own]))):
+            for found, values in zip(out.sums[m, k], (g, h)):
+                assert np.allclose(found, np.bincount(cell, values * times))
+        seen = roles[own] & 2 > 0
+        assert np.allclose(out.losses[m], [plan.losses(margin[:, seen], y[own][seen]).sum(), seen.sum()])
+
+
+def test_what_levels_read_does_not_grow_with_rows_of_equal_codes():
+    x, y = sample(400)
+    plans = [squared_plan(watched=1), B.Plan(PARAMS, "quantile", 0, share=0.9, start=(4.0,))]
+    sizes = []
+    for copies in (1, 40):
+        rng = np.random.default_rng(copies)
+        codes, label = np.tile(BINS.codes(x), copies), np.tile(y, copies) + rng.random(400 * copies)
+        block = B.Block(codes, label, np.ones(len(label)), np.tile(1 + np.arange(400) % 2, copies), np.arange(len(label)))
+        for own in (plans, plans[:1]):
+            (cells,) = B.folded(own, BINS.width)(map(B.started(own, [B.Fit(p) for p in own]), [block]))
+            sizes.append(len(pickle.dumps(B.summed(own, list(range(len(own))), 0, False)(cells))))
+    assert sizes[0] == sizes[2] and sizes[1] == sizes[3]
+
+
+def test_distinct_columns_of_many_slots():
+    codes = np.random.default_rng(2).integers(0, 2, (40, 500)).astype(np.uint8) * 63
+    codes = np.concatenate([codes, codes[:, ::-1]], axis=1)
+    first, cell = B.distinct(codes, 64)
+    assert (codes[:, first][:, cell] == codes).all() and len(first) == np.unique(codes, axis=1).shape[1]
