@@ -3,7 +3,8 @@ SIMILAR connect.
 
 Documents with equal sets of shingles are one point. Points that agree in a band of MinHash values are candidates: of
 pairs at similarity 0.8 the BANDS bands of ROWS values miss seven in ten thousand. A bit of 128 of the values makes a sketch
-that drops far pairs (at 0.8 the limit lies six deviations off), and the rest are compared exactly by their sets. Each
+that drops far pairs (at 0.8 the limit lies six deviations off), and the rest are compared exactly by their sets. The vantage-point
+trees of `simhash` over the texts' fingerprints propose further pairs, of at most four differing bits, which are compared by their sets too. Each
 bucket's points are first compared with its central point, the one whose buckets are largest: of copies of one text that is
 mostly the text. Points that this leaves apart from most of their bucket are then compared with all of it, in
 tasks of bounded size that return a link for each two parts they unite, never a row per pair.
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tabscout.llm.common import documents_text, join_by_key, written
 from tabscout.llm.graph import components
 from tabscout.llm.rules import row_key, rows_with_key
-from tabscout.llm.simhash import local_labels
+from tabscout.llm.simhash import close_fingerprints, fingerprint, local_labels
 
 WORDS, ROWS, BANDS, SKETCH = 5, 6, 24, 36
 # Points of a block, shingles of its sets, and distinct shingles that are counted at once.
@@ -79,12 +80,12 @@ def signature(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """doc_id, _row, the point's id and size, band keys and sketch of each document."""
+    """doc_id, _row, the point's id and size, band keys, sketch and fingerprint of each document."""
     rows = docs.select("doc_id", row_key(docs).alias("_row"), documents_text(docs).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, keys, sketches = [], [], [], []
+            ids, sizes, keys, sketches, prints = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingle_set(text)
                 ids.append(xxhash.xxh64_intdigest(found.tobytes()))
@@ -92,12 +93,14 @@ def points(docs: DataFrame) -> DataFrame:
                 own, sketch = signature(found)
                 keys.append(own.view("<i8"))
                 sketches.append(sketch.view("<i8"))
+                prints.append(fingerprint(text))
             both = np.array(sketches, dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(np.array(ids, dtype="<u8").view("<i8")), pa.array(sizes, pa.int64()),
-                pa.array(keys, pa.list_(pa.int64())), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "_row", "id", "size", "keys", "s", "t"])
+                pa.array(keys, pa.list_(pa.int64())), pa.array(both[:, 0]), pa.array(both[:, 1]),
+                pa.array(np.array(prints, dtype="<u8").view("<i8"))], names=["doc_id", "_row", "id", "size", "keys", "s", "t", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, _row struct<a: long, b: long>, id long, size long, keys array<long>, s long, t long")
+    return rows.mapInArrow(run, "doc_id long, _row struct<a: long, b: long>, id long, size long, keys array<long>, s long, t long, fp long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -226,10 +229,27 @@ def similar_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     return links.unionByName(open_links(members, parts, sets))
 
 
+def fingerprint_links(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The similar ones of the pairs (a, b) that the vantage-point trees of `simhash` propose: a point with the least one of its
+    fingerprint, and those of two fingerprints a shard links. found: points(), written."""
+    own = written(found.select("id", "fp").distinct())
+    by_fp = written(own.groupBy("fp").agg(F.min("id").alias("_first"), F.count("*").alias("_n")))
+    near = written(close_fingerprints(by_fp.select("fp")).distinct())
+    pairs = join_by_key(own, by_fp, "fp", "_n").select(F.col("id").alias("a"), F.col("_first").alias("b"))
+    for side, name in (("a", "_a"), ("b", "_b")):
+        counts = near.groupBy(F.col(side).alias("_fp")).agg(F.count("*").alias(f"_n{side}"))
+        ends = by_fp.join(counts, F.col("fp") == F.col("_fp")).select(F.col("fp").alias(side), F.col("_first").alias(name), f"_n{side}")
+        near = join_by_key(near, ends, side, f"_n{side}").drop(f"_n{side}")
+    pairs = written(ordered(pairs.union(near.select("_a", "_b")).filter(F.col("a") != F.col("b")), "a", "b"))
+    wanted = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
+    rows = found.groupBy("id").agg(F.min("_row").alias("_row"))
+    return verified(pairs, written(sets_of(docs, rows.join(wanted, F.col("id") == F.col("_id")).select("id", "_row"))))
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of each part, the one with the smallest doc_id, all columns; of repeated rows one stays."""
     found = written(points(docs))
-    parts = components(similar_links(docs, found))
+    parts = components(similar_links(docs, found).unionByName(fingerprint_links(docs, found)))
     best = found.groupBy("id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best"))
     best = best.join(parts, F.col("id") == F.col("node"), "left").withColumn("part", F.coalesce("least", "id"))
     kept = best.groupBy("part").agg(F.min("best")["_row"].alias("key"))
