@@ -279,3 +279,12 @@ def test_distinct_columns_of_many_slots():
     codes = np.concatenate([codes, codes[:, ::-1]], axis=1)
     first, cell = B.distinct(codes, 64)
     assert (codes[:, first][:, cell] == codes).all() and len(first) == np.unique(codes, axis=1).shape[1]
+
+
+def test_cells_of_one_row_grow_the_same_trees(spark, monkeypatch):
+    x, y = sample()
+    plans = [squared_plan(watched=0), B.Plan(PARAMS, "quantile", 0, share=0.9, start=(5.0,))]
+    a = B.boost(blocks(spark, x, y), plans, BINS)
+    monkeypatch.setattr(B, "RARE", 0)
+    b = B.boost(blocks(spark, x, y), plans, BINS)
+    assert all(same(p, q) for p, q in zip(a, b)) and np.allclose(a[0].losses, b[0].losses)
