@@ -288,3 +288,26 @@ def test_cells_of_one_row_grow_the_same_trees(spark, monkeypatch):
     monkeypatch.setattr(B, "RARE", 0)
     b = B.boost(blocks(spark, x, y), plans, BINS)
     assert all(same(p, q) for p, q in zip(a, b)) and np.allclose(a[0].losses, b[0].losses)
+
+
+def test_levels_read_off_the_sums_of_all_partitions_cells(spark, monkeypatch):
+    x, y = sample(12_000)
+    plans = [squared_plan(params=B.Params(max_depth=5, n_estimators=4), watched=0), B.Plan(PARAMS, "quantile", 0, share=0.9, start=(5.0,))]
+    two = [B.Plan(PARAMS, "logistic", 0, weighted=True)]
+    sc = spark.sparkContext
+
+    def grow(plans, y):
+        sc.setJobGroup("grow", "")
+        before = len(sc.statusTracker().getJobIdsForGroup("grow"))
+        fits = B.boost(blocks(spark, x, y, parts=8), plans, BINS)
+        return fits, len(sc.statusTracker().getJobIdsForGroup("grow")) - before
+
+    few, jobs = grow(plans, y)
+    classes, _ = grow(two, (y > 4).astype(float))
+    monkeypatch.setattr(B, "COLLECTED", 16 * 4 * 2 * 2000)  # room for the cells, but not for those of eight partitions
+    reduced, _ = grow(plans, y)
+    monkeypatch.setattr(B, "CELL_ROWS", 1 << 40)
+    levels, more = grow(plans, y)
+    assert all(same(p, q) and same(p, r) for p, q, r in zip(few, reduced, levels)) and np.allclose(few[0].losses, levels[0].losses)
+    assert same(classes[0], grow(two, (y > 4).astype(float))[0][0])
+    assert jobs <= 2 * 4 + 5 < more  # a job a round, one for its quantiles
