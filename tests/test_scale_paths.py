@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tabscout.operators import ordering as O
 from tabscout.operators import series as S
 from tabscout.operators import split as SP
+from tabscout.operators import training as T
 from tabscout.operators.evaluate import roc_auc
 from tabscout.operators.explore import duplicate_rows
 from tabscout.operators.quantiles import exact_quantiles, order_statistics
@@ -248,3 +249,19 @@ def test_auc_of_many_buckets_has_a_small_plan(spark):
     hits, others = ([p for p, y in rows if y == v] for v in "ab")
     wins = sum((h > o) + (h == o) / 2 for h in hits for o in others)
     assert abs(out.first()[0] - wins / (len(hits) * len(others))) < 1e-9
+
+
+def test_a_run_reads_its_source_a_few_times_and_leaves_nothing_cached(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = 4000
+    df = spark.range(rows, numPartitions=1).selectExpr("id", "id % 37 * 1.5D as a", "id % 11 + id % 37 * 2D as y").mapInArrow(counted, "id bigint, a double, y double")
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    T.train(df, "y", ["id"], exclude=("id",), params=T.Params(n_estimators=2), cross_validation=False, with_linear=False, with_band=False)
+    assert seen.value <= 3 * rows
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= cached
