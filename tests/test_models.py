@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import json
 import math
 
 import numpy as np
@@ -385,6 +386,16 @@ def test_runs(spark, tmp_path, rows):
             R.run_row("ds", "y", "regression", **bad)
 
 
+def test_the_simple_variant_is_shallow_with_a_heavier_penalty(rows):
+    """As in the reference: depth 3 and lambda 5, and nothing else."""
+    light = dict(exclude=("id",), trials=1, cross_validation=False, with_linear=False, with_band=False)
+    runs = {r["label"]: r for r in R.compare_variants(rows.drop("won", "band"), "ds", "y", ["id"], T.Params(n_estimators=3), **light).collect()}
+    assert [(runs[v]["status"], runs[v]["overrides"]) for v in ("Standard", "Thorough")] == [("complete", None)] * 2
+    assert T.Overrides(**json.loads(runs["Simple"]["overrides"])) == T.Overrides(max_depth=3, reg_lambda=5.0)
+    same = T.train(rows.drop("won", "band"), "y", ["id"], params=T.Params(n_estimators=3, max_depth=3, reg_lambda=5.0), **light)
+    assert math.isclose(runs["Simple"]["metrics"]["mae"], same.metrics["mae"], rel_tol=1e-9)
+
+
 def test_suggestions(spark):
     shape = "run_id string, feature string, source string, share double, is_dataset_column boolean"
     table = spark.createDataFrame([
