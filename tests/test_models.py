@@ -17,6 +17,7 @@ from tabscout.operators import forecast as FC
 from tabscout.operators import runs as R
 from tabscout.operators import targets as TG
 from tabscout.operators import training as T
+from tabscout.operators import trees as TR
 from tabscout.operators.series import append_future, future_dates
 from tabscout.operators.trees import Forest, Tree, shapley_table
 from tabscout.plans.catalog import QUERIES
@@ -124,6 +125,35 @@ def test_shap_equals_brute_force():
     assert np.allclose(shapley_table(np.array([[1.0]]), np.array([0.25])), [[0.75]])
 
 
+@pytest.mark.parametrize("room", [TR.KNOWN_BYTES, 200, 0])
+def test_equal_cells_are_worked_out_once(monkeypatch, room):
+    """Rows between the same thresholds share one score and one explanation, in all batches, equal to their own bit by bit."""
+    monkeypatch.setattr(TR, "KNOWN_BYTES", room)
+    sets = Tree(np.array([1, -1, -1]), np.zeros(3), np.array([1, -1, -1]), np.array([2, -1, -1]), np.array([9.0, 4, 5]), np.array([[0.0], [0.3], [-0.7]]),
+                {0: np.array([0.0, 2.0])}, np.array([True, False, False]))
+    forest, rng, worked = Forest([toy_tree(), sets, toy_tree()], [1.0, 0.5, 0.1], 2), np.random.default_rng(3), []
+    plain, shap = Forest.predict, Forest.shap
+    monkeypatch.setattr(Forest, "predict", lambda self, x: (worked.append(len(x)), plain(self, x))[1])
+    monkeypatch.setattr(Forest, "shap", lambda self, x, output: (worked.append(len(x)), shap(self, x, output))[1])
+    for _ in range(3):
+        x = np.column_stack([rng.normal(2, 3, 2000), rng.integers(-1, 4, 2000)])
+        x[rng.random((2000, 2)) < 0.1] = np.nan
+        x[:4, 0] = [1.0, 3.0, math.inf, -math.inf]
+        assert np.array_equal(forest.known_margins(x), plain(forest, x))
+        assert np.array_equal(forest.known_shap(x, np.zeros(2000, dtype=int)), shap(forest, x, 0))
+    cells = 4 * 6  # three ranges and missing; values -1 to 3 and missing
+    assert max(worked) <= cells and (not room or room == 200 or sum(worked) <= 2 * cells)
+
+
+def test_too_many_possible_cells_are_scored_one_by_one(monkeypatch):
+    slots = 12
+    trees = [Tree(np.array([k, -1, -1]), np.array([float(t), 0, 0]), np.array([1, -1, -1]), np.array([2, -1, -1]), np.array([2.0, 1, 1]),
+                  np.array([[0.0], [1.0 * k], [0.01 * t]])) for k in range(slots) for t in range(63)]
+    forest, x = Forest(trees, [1.0] * len(trees), slots), np.random.default_rng(5).random((50, slots)) * 63
+    assert forest.cells(x) is None
+    assert np.array_equal(forest.known_margins(x), forest.predict(x)) and np.array_equal(forest.known_shap(x, np.zeros(50, dtype=int)), forest.shap(x, 0))
+
+
 def test_scores_are_those_of_the_trees(binary, bands, number, rows):
     from pyspark.ml.functions import vector_to_array
 
