@@ -311,3 +311,35 @@ def test_levels_read_off_the_sums_of_all_partitions_cells(spark, monkeypatch):
     assert all(same(p, q) and same(p, r) for p, q, r in zip(few, reduced, levels)) and np.allclose(few[0].losses, levels[0].losses)
     assert same(classes[0], grow(two, (y > 4).astype(float))[0][0])
     assert jobs <= 2 * 4 + 5 < more  # a job a round, one for its quantiles
+
+
+def test_rounds_of_merged_rows_are_no_job(spark, monkeypatch):
+    """Where the driver has the merged rows of all partitions, jobs don't grow with rounds; trees, losses and resumed runs are those of
+    the levels, also beside plans that read rows one by one."""
+    x, y = sample(12_000)
+    roles = 1 + np.arange(12_000) % 3
+    three = np.digitize(y, [3, 6]).astype(float)
+    plans = {"squared": [squared_plan(watched=1), squared_plan(rows=1, rules={1: 1})],
+             "softmax": [B.Plan(PARAMS, "softmax", 0, 1, classes=3, start=(0.0,) * 3), B.Plan(PARAMS, "softmax", 1, None, 3, weighted=True, start=(0.0,) * 3)],
+             "beside": [squared_plan(watched=1), B.Plan(PARAMS, "quantile", 0, share=0.9, start=(5.0,)), squared_plan(params=B.Params(subsample=0.7, n_estimators=6, max_depth=3))]}
+    sc = spark.sparkContext
+
+    def grow(kind, rounds=None, fits=None):
+        sc.setJobGroup(kind, "")
+        before = len(sc.statusTracker().getJobIdsForGroup(kind))
+        own = plans[kind] if rounds is None else [B.replace(p, params=B.replace(p.params, n_estimators=rounds)) for p in plans[kind]]
+        out = B.boost(blocks(spark, x, three if kind == "softmax" else y, roles, 8), own, BINS, fits)
+        return out, len(sc.statusTracker().getJobIdsForGroup(kind)) - before
+
+    for kind in plans:
+        held, jobs = grow(kind)
+        resumed, _ = grow(kind, fits=grow(kind, 2)[0])
+        with monkeypatch.context() as m:
+            m.setattr(B, "CELL_ROWS", 1 << 40)
+            levels, _ = grow(kind)
+        assert all(same(a, b) and np.allclose(a.losses, b.losses) for a, b in zip(held, levels))
+        assert all(same(a, b) for a, b in zip(held, resumed))
+        assert jobs == 1 if kind != "beside" else jobs <= 2 * 6 + 1
+        with monkeypatch.context() as m:
+            m.setattr(B, "MERGED_BYTES", B.COLLECTED)  # no room for merged rows
+            assert all(same(a, b) for a, b in zip(held, grow(kind)[0]))
