@@ -249,6 +249,13 @@ def test_save_and_load(spark, number, rows, tmp_path):
     assert a == b and again.spec == number.model.spec
 
 
+def test_a_run_hashes_its_keys_once(rows, binary, monkeypatch):
+    """Splits and blocks take the hash that is kept with the rows, and give the same run."""
+    monkeypatch.setattr(T.SP, "hash_key", None)
+    again = T.train(rows.drop("y", "band"), "won", ["id"], exclude=("id",), **LIGHT)
+    assert again.metrics == binary.metrics and again.losses == binary.losses
+
+
 def test_leakage_and_simple_warnings(spark, rows):
     leaky = rows.drop("y", "band").withColumn("leak", F.concat(F.lit("x"), "won"))
     result = T.train(leaky, "won", ["id"], exclude=("id",), params=QUICK, cross_validation=False)
